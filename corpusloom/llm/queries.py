@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import p05_shared_spans as p05
+from corpusloom.llm import p07_format_duplicates as p07
 from corpusloom.session import table
 
 
@@ -21,7 +22,20 @@ def p5_shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05.shared_amounts(df, "id", "karar_metni", *p05.shared_spans(df, "id", "karar_metni"))
 
 
+NUMBERS = ["esas_no", "karar_no"]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p07.group_pairs(p07.copy_groups(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni", NUMBERS))
+
+
+def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p07.collapse(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni", NUMBERS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_shared_amounts": p5_shared_amounts,
+    "p7_found": p7_found,
+    "p7_collapsed": p7_collapsed,
 }
