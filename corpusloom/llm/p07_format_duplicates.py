@@ -30,6 +30,8 @@ from corpusloom.storage import materialize
 
 #: The labels of the header lines, folded.
 HEADER_LABELS = ("mahkemesi", "tarihi", "numarasi", "dava türü", "suç", "tebliğname no")
+#: Header lines that have no value.
+HEADER_TITLES = ("içtihat metni", "yargitay ilami", "türk milleti adina")
 HEAD_CHARS = 1200  # the header is looked for here; the whole text is compared
 LABEL_GAP = 200  # between the starts of neighbouring labels, in normalised characters
 
@@ -62,7 +64,8 @@ def normalise(text: str) -> str:
     return out[out > 0].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-_LABEL = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, x.split())) for x in HEADER_LABELS) + r")(?!\w)")
+_LABEL = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, x.split())) for x in HEADER_LABELS + HEADER_TITLES) + r")(?!\w)")
+_TITLE_LENGTHS = {"".join(x.split()): len("".join(x.split())) for x in HEADER_TITLES}
 _FOLD = {ord("I"): "i", ord("İ"): "i", ord("ı"): "i", 0x307: None}
 
 
@@ -89,7 +92,7 @@ def canonical(text: str, lengths: dict[str, int]) -> str:
     if not names:
         return flat
     lines = [flat[a:b] for a, b in zip(starts, starts[1:])]
-    end = starts[-1] + lengths.get(names[-1], 0)
+    end = starts[-1] + _TITLE_LENGTHS.get(names[-1], lengths.get(names[-1], 0))
     if end > starts[-1]:
         lines.append(flat[starts[-1] : end])
     return "\x1e".join([flat[: starts[0]], *sorted(lines), "\x1d", flat[end:]])
