@@ -7,11 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import p02_lookalikes as p02
+from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
 from corpusloom.llm import p07_format_duplicates as p07
 from corpusloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = p02.cases(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni")
+    requests = p02.cases(table(spark, sf_dir, "search_requests"), "istek_id", "olay")
+    return decisions.select(F.lit("imported_decisions").alias("tablo"), "kayit").unionByName(requests.select(F.lit("search_requests").alias("tablo"), "kayit"))
+
+
+def p2_look_alike_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02.look_alike_groups(table(spark, sf_dir, "search_requests"), "istek_id", "olay").where("forms > 1")
+
+
+def _oversized(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
+    return p04.oversized(table(spark, sf_dir, name), "id", column)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [_oversized(spark, sf_dir, name, column).select(F.lit(name).alias("tablo"), "kayit", p04.cut_kind(F.col("pieces")).alias("kesim")) for name, column in (("imported_decisions", "karar_metni"), ("text_chunks", "chunk_metni"))]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p04.exploded(_oversized(spark, sf_dir, "imported_decisions", "karar_metni")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "imported_decisions")
     return p05.record_pairs(*p05.shared_spans(df, "id", "karar_metni"))
@@ -34,6 +59,10 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_look_alike_groups": p2_look_alike_groups,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_shared_amounts": p5_shared_amounts,
     "p7_found": p7_found,
