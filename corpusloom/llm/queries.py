@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import p02_lookalikes as p02
+from corpusloom.llm import p03_truncation as p03
 from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
 from corpusloom.llm import p07_format_duplicates as p07
@@ -24,6 +25,19 @@ def p2_look_alike_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p02.look_alike_groups(table(spark, sf_dir, "search_requests"), "istek_id", "olay").where("forms > 1")
 
 
+def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = table(spark, sf_dir, "imported_decisions").withColumns({"dil": F.lit("tr"), "alan": F.lit("karar_metni")})
+    return df, p03.truncated(df, "id", "karar_metni", ["dil", "alan"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir)[1].where("cut").select("id").distinct()
+
+
+def p3_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p03.source_shares(*_cut(spark, sf_dir), "id", "kaynak")
+
+
 def _oversized(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
     return p04.oversized(table(spark, sf_dir, name), "id", column)
 
@@ -61,6 +75,8 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_look_alike_groups": p2_look_alike_groups,
+    "p3_found": p3_found,
+    "p3_source_shares": p3_source_shares,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
