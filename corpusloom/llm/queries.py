@@ -12,6 +12,7 @@ from corpusloom.llm import p03_truncation as p03
 from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
 from corpusloom.llm import p07_format_duplicates as p07
+from corpusloom.llm import p10_personal_information as p10
 from corpusloom.session import table
 
 
@@ -72,6 +73,19 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07.collapse(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni", NUMBERS)
 
 
+#: The key of the pseudonyms; production passes its own secret.
+PII_KEY = b"corpusloom-example-key"
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p10.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), "pii_type", "seq")
+
+
+def p10_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PII_KEY).select("doc_id", "safe_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_look_alike_groups": p2_look_alike_groups,
@@ -81,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_shared_amounts": p5_shared_amounts,
+    "p10_found": p10_found,
+    "p10_replaced": p10_replaced,
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
 }
