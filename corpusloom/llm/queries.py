@@ -11,6 +11,7 @@ from corpusloom.llm import p02_lookalikes as p02
 from corpusloom.llm import p03_truncation as p03
 from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
+from corpusloom.llm import p06_similar_vectors as p06
 from corpusloom.llm import p07_format_duplicates as p07
 from corpusloom.llm import p10_personal_information as p10
 from corpusloom.session import table
@@ -62,6 +63,16 @@ def p5_shared_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05.shared_amounts(df, "id", "karar_metni", *p05.shared_spans(df, "id", "karar_metni"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", min_score=0.85)
+    return hits.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p6_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", probes=12)
+    return hits.select(F.col("id").alias("query_id"), F.col("neighbour").alias("chunk_id"), "score", "rank")
+
+
 NUMBERS = ["esas_no", "karar_no"]
 
 
@@ -97,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_shared_amounts": p5_shared_amounts,
     "p10_found": p10_found,
     "p10_replaced": p10_replaced,
+    "p6_found": p6_found,
+    "p6_hits": p6_hits,
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
 }
