@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import p01_markup as p01
 from corpusloom.llm import p02_lookalikes as p02
 from corpusloom.llm import p03_truncation as p03
 from corpusloom.llm import p04_splitting as p04
@@ -17,6 +18,16 @@ from corpusloom.llm import p10_personal_information as p10
 from corpusloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p01.clean_text(table(spark, sf_dir, "scraped_decisions").select("satir_no", "karar_html"), "karar_html")
+    return rows.select("satir_no", F.explode("structures").alias("yapi")).where("satir_no is not null").distinct()
+
+
+def p1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p01.clean_text(table(spark, sf_dir, "scraped_decisions").select("satir_no", "karar_html"), "karar_html")
+    return rows.select("satir_no", "clean_text", F.array_join("structures", ",").alias("structures"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = p02.cases(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni")
     requests = p02.cases(table(spark, sf_dir, "search_requests"), "istek_id", "olay")
@@ -98,6 +109,8 @@ def p10_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean_text": p1_clean_text,
     "p2_found": p2_found,
     "p2_look_alike_groups": p2_look_alike_groups,
     "p3_found": p3_found,
