@@ -14,8 +14,11 @@ from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
 from corpusloom.llm import p06_similar_vectors as p06
 from corpusloom.llm import p07_format_duplicates as p07
+from corpusloom.llm import p08_packing as p08
+from corpusloom.llm import p09_mixing as p09
 from corpusloom.llm import p10_personal_information as p10
 from corpusloom.session import table
+from corpusloom.storage import materialize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +98,42 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07.collapse(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni", NUMBERS)
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}  # a fixed table of three rows
+
+
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = p08.packed(table(spark, sf_dir, "documents"), "doc_id", "text", _capacities(spark, sf_dir))
+    return placed.withColumn("doc_id", F.col("id").cast("long")).drop("id")
+
+
+def p8_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _capacities(spark, sf_dir)
+    return p08.fill_report(p08.packed(table(spark, sf_dir, "documents"), "doc_id", "text", sizes), sizes)
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    weights = table(spark, sf_dir, "source_weights")
+    sizes = materialize(p09.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
+    return p09.mixed(sizes, weights), weights
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumn("doc_id", F.col("id").cast("long")).drop("id")
+
+
+def p9_budget_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the corpus: the exponent gives way where small sources would repeat too often."""
+    weights = table(spark, sf_dir, "source_weights")
+    sizes = materialize(p09.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return p09.share_report(p09.mixed(sizes, weights, budget=total), weights)
+
+
+def p9_share_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09.share_report(*_mix(spark, sf_dir))
+
+
 #: The key of the pseudonyms; production passes its own secret.
 PII_KEY = b"corpusloom-example-key"
 
@@ -119,6 +158,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_shared_amounts": p5_shared_amounts,
+    "p8_packing": p8_packing,
+    "p8_fill_report": p8_fill_report,
+    "p9_mix": p9_mix,
+    "p9_share_report": p9_share_report,
+    "p9_budget_mix_report": p9_budget_mix_report,
     "p10_found": p10_found,
     "p10_replaced": p10_replaced,
     "p6_found": p6_found,
