@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def as_doubles(v: Column) -> Column:
@@ -35,7 +36,7 @@ def is_valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def digest(v: pd.Series) -> pd.Series:
     """SHA-256 of a vector's little-endian doubles."""
     return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f8").tobytes()).hexdigest())

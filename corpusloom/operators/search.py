@@ -26,7 +26,7 @@ def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int,
     x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     kind = queries.schema[id_col].dataType.simpleString()
 
-    def meet(key, group: pa.Table) -> pa.Table:
+    def meet(key, group):
         flags = group.column("is_query").to_numpy()
         ids = group.column("id")
         sizes = group.column("v").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -20,7 +21,7 @@ class IncrementalTable:
         self.path, self.id_col, self.order, self.rules = path.rstrip("/"), id_col, order, rules
 
     def _earlier(self, spark, batch: int, schema) -> DataFrame:
-        return spark.read.schema(schema.add("batch", "long")).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").where(F.col("batch") < batch)
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").where(F.col("batch") < batch)
 
     def write(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
