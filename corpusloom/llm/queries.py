@@ -170,3 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
 }
+
+#: SQL for the queries that it can express on whole tables.
+SQL: dict[str, str] = {
+    "p4_found": """SELECT DISTINCT tablo, kayit, CASE WHEN len(list_filter(regexp_extract_all(metin, '\\S+'), lambda w: length(w) > 1200)) > 0 THEN 'zorunlu' ELSE 'dogal' END AS kesim FROM (SELECT 'imported_decisions' AS tablo, id AS kayit, karar_metni AS metin FROM imported_decisions UNION ALL SELECT 'text_chunks', id, chunk_metni FROM text_chunks) WHERE length(metin) > 1200""",
+}
