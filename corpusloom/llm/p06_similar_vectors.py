@@ -162,7 +162,7 @@ def _meet(visits: DataFrame, dim: int, k: int, least: float | None) -> DataFrame
         entries, names = codes[home].astype(np.float32), keys[home]
         for s in range(0, len(codes), 2048):
             near = (codes[s : s + 2048].astype(np.float32) @ entries.T) / (_SCALE * _SCALE)
-            if least is None and near.shape[1] > k + 1:
+            if least is None and near.shape[1] > k + 1:  # the query itself may be one of them
                 col = np.argpartition(-near, k, axis=1)[:, : k + 1].ravel()
                 row = np.repeat(np.arange(len(near)), k + 1)
             elif least is None:
@@ -236,7 +236,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
     met = _meet(_spread(entries, hot), dim, k, min_score)
     if min_score is None:  # the best of a query over all its cells
         by = W.partitionBy("a").orderBy(F.desc("score"), "b")
-        met = met.distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= 2 * k)
+        met = met.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 3)
     pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     exact = _rerank(pairs, rows, dim)
     if min_score is not None:
