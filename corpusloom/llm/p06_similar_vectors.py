@@ -3,8 +3,10 @@
 Method: inverted multi-index.  Vectors are normalised and cut in two halves,
 each quantised by its own codebook; a vector's cell is the pair of its nearest
 centroids.  A query visits the cells with the least summed distance, found with
-a heap over pairs of ranked centroids; what it meets there is scored on 8-bit
-components, and the best of it is reranked on the full vectors.
+a heap over pairs of ranked centroids.  With a least score, what it meets there
+is sifted on 8-bit components and reranked on the full vectors; without one the
+entries carry 16-bit components, on which they are ranked at once (scores are
+then off by less than 1e-4), as a rerank would move a vector for every hit.
 
 The codebooks are fitted on a sample of at most ``sample`` vectors (the least
 by a hash of the id); every vector is indexed and every vector is a query.  The
@@ -33,13 +35,14 @@ from pyspark.sql import Window as W
 from corpusloom.llm.common import arrow_map
 from corpusloom.storage import materialize
 
-_SCALE = 127.0
+_SCALES = {np.int8: 127.0, np.int16: 32767.0}
+_ROWS = 1024  # queries that are scored at once
 _LEFT_OUT = 0.02  # more than the 8-bit components can be off
 
 
-def codebook_size(n: int) -> int:
+def codebook_size(n: int, fineness: float = 3.5) -> int:
     """Centroids for each half of ``n`` vectors."""
-    return int(min(2048, max(4, round(3.5 * max(n, 1) ** 0.3))))
+    return int(min(2048, max(4, round(fineness * max(n, 1) ** 0.3))))
 
 
 def fit_codebook(sample: np.ndarray, size: int, rounds: int = 8) -> np.ndarray:
@@ -114,18 +117,18 @@ def _keys(x: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x), dtype=np.uint8).reshape(-1, 16)
 
 
-def _codes(x: np.ndarray) -> np.ndarray:
-    return np.rint(x * _SCALE).astype(np.int8)
+def _codes(x: np.ndarray, kind) -> np.ndarray:
+    return np.rint(x * _SCALES[kind]).astype(kind)
 
 
-def _index(rows: DataFrame, dim: int, books: list[np.ndarray], probes: int) -> DataFrame:
+def _index(rows: DataFrame, dim: int, books: list[np.ndarray], probes: int, kind) -> DataFrame:
     """(id, key, code, cells): key names the class of equal vectors."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, x = _vectors(batch.column(1), dim)
         cells = visited_cells(x, books, probes)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(cells.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _fixed(_keys(x)), _fixed(_codes(x).view(np.uint8)), lists], names=["id", "key", "code", "cells"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _fixed(_keys(x)), _fixed(_codes(x, kind).view(np.uint8).reshape(len(x), -1)), lists], names=["id", "key", "code", "cells"])
 
     return arrow_map(rows, per_batch, "id string, key binary, code binary, cells array<long>")
 
@@ -155,47 +158,100 @@ def _spread(entries: DataFrame, hot: dict[int, int]) -> DataFrame:
     return arrow_map(entries.select("key", "code", "cells"), per_batch, "cell long, block long, home boolean, key binary, code binary")
 
 
-def _meet(visits: DataFrame, dim: int, k: int, least: float | None) -> DataFrame:
-    """(a, b, score): for each visit the best ``k`` entries of the block, or all of at least ``least``, on 8-bit components."""
-
-    def pairs(keys: np.ndarray, codes: np.ndarray, home: np.ndarray):
-        entries, names = codes[home].astype(np.float32), keys[home]
-        for s in range(0, len(codes), 2048):
-            near = (codes[s : s + 2048].astype(np.float32) @ entries.T) / (_SCALE * _SCALE)
-            if least is None and near.shape[1] > k + 1:  # the query itself may be one of them
-                col = np.argpartition(-near, k, axis=1)[:, : k + 1].ravel()
-                row = np.repeat(np.arange(len(near)), k + 1)
-            elif least is None:
-                row, col = np.divmod(np.arange(near.size), near.shape[1])
-            else:
-                row, col = np.nonzero(near >= least - _LEFT_OUT)
-            a, b = keys[s + row], names[col]
-            other = (a != b).any(axis=1)
-            yield pa.RecordBatch.from_arrays([_fixed(a[other]), _fixed(b[other]), pa.array(near[row, col][other].astype(np.float64))], names=["a", "b", "score"])
+def _visits_in_order(batches, dim: int, kind):
+    """(keys, codes, home) of each block of a cell, from batches sorted by cell and block."""
+    held: list[tuple] = []
+
+    def groups(last: bool):
+        if not held:
+            return
+        cell, home, keys, codes = (np.concatenate(x) for x in zip(*held))
+        cut = np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0] + 1
+        bounds = [0, *cut.tolist(), len(cell)]
+        stop = len(bounds) - 1 if last else len(bounds) - 2
+        for s, e in zip(bounds[:stop], bounds[1 : stop + 1]):
+            if home[s:e].any():
+                yield keys[s:e], codes[s:e], home[s:e]
+        held[:] = [] if last else [tuple(x[bounds[stop] :] for x in (cell, home, keys, codes))]
+
+    for batch in batches:
+        if batch.num_rows:
+            where = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
+            held.append((where, batch.column(2).to_numpy(zero_copy_only=False), _bytes(batch.column(3), 16), _bytes(batch.column(4), dim * np.dtype(kind).itemsize).view(kind)))
+            yield from groups(False)
+    yield from groups(True)
+
+
+def _meet(visits: DataFrame, dim: int, least: float) -> DataFrame:
+    """(a, b): what scores at least ``least`` on 8-bit components, within what these can be off."""
+
+    def run(batches):
+        for keys, codes, home in _visits_in_order(batches, dim, np.int8):
+            entries, names = codes[home].astype(np.float32), keys[home]
+            for s in range(0, len(codes), _ROWS):
+                near = codes[s : s + _ROWS].astype(np.float32) @ entries.T
+                row, col = np.nonzero(near >= (least - _LEFT_OUT) * _SCALES[np.int8] ** 2)
+                a, b = keys[s + row], names[col]
+                other = (a != b).any(axis=1)
+                yield pa.RecordBatch.from_arrays([_fixed(a[other]), _fixed(b[other])], names=["a", "b"])
+
+    return visits.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a binary, b binary")
+
+
+def _meet_best(visits: DataFrame, dim: int, k: int) -> DataFrame:
+    """(a, b, score): the best ``k`` of each query over all its visits, on 16-bit components.
+
+    A visit returns its best ``k`` in one packed row; the rows of a query, no
+    more than its visits, are then merged.
+    """
 
     def run(batches):
+        for keys, codes, home in _visits_in_order(batches, dim, np.int16):
+            entries, names = codes[home].astype(np.float32) / _SCALES[np.int16], keys[home]
+            many = min(k, len(names))
+            for s in range(0, len(codes), _ROWS):
+                own = keys[s : s + _ROWS]
+                near = (codes[s : s + _ROWS].astype(np.float32) / _SCALES[np.int16]) @ entries.T
+                same = np.nonzero(home[s : s + _ROWS])[0]
+                near[same, np.cumsum(home)[s + same] - 1] = -9  # a query is no hit of itself
+                col = np.argpartition(-near, many - 1, axis=1)[:, :many] if many < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+                score = np.take_along_axis(near, col, 1).astype("<f4")
+                yield pa.RecordBatch.from_arrays([_fixed(own), _fixed(names[col].reshape(len(own), -1)), _fixed(score.view(np.uint8))], names=["a", "bs", "scores"])
+
+    def merge(batches):
         held: list[tuple] = []
 
-        def groups(last: bool):
+        def best(last: bool):
             if not held:
                 return
-            cell, home, keys, codes = (np.concatenate(x) for x in zip(*held))
-            cut = np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0] + 1
-            bounds = [0, *cut.tolist(), len(cell)]
-            stop = len(bounds) - 1 if last else len(bounds) - 2
-            for s, e in zip(bounds[:stop], bounds[1 : stop + 1]):
-                if home[s:e].any():
-                    yield from pairs(keys[s:e], codes[s:e], home[s:e])
-            held[:] = [] if last else [tuple(x[bounds[stop] :] for x in (cell, home, keys, codes))]
+            a = [x for h in held for x in h[0]]
+            bs, scores = ([x for h in held for x in h[i]] for i in (1, 2))
+            stop = len(a)
+            if not last:
+                while stop and a[stop - 1] == a[-1]:
+                    stop -= 1
+            if stop:
+                number = np.cumsum([0, *(x != y for x, y in zip(a[1:stop], a[: stop - 1]))])
+                n = np.array([len(x) // 4 for x in scores[:stop]])
+                group = np.repeat(number, n)
+                s = np.frombuffer(b"".join(scores[:stop]), dtype="<f4").astype(np.float64)
+                b = np.frombuffer(b"".join(bs[:stop]), dtype=np.uint8).reshape(-1, 16)
+                order = np.lexsort((b[:, 0], -s, group))
+                g = group[order]
+                first = np.searchsorted(g, np.arange(number[-1] + 1))
+                keep = order[(np.arange(len(g)) - first[g] < k) & (s[order] > -2)]
+                owner = np.frombuffer(b"".join(a[:stop]), dtype=np.uint8).reshape(-1, 16)[np.searchsorted(number, group[keep])]
+                yield pa.RecordBatch.from_arrays([_fixed(owner), _fixed(b[keep]), pa.array(s[keep])], names=["a", "b", "score"])
+            held[:] = [] if last else [(a[stop:], bs[stop:], scores[stop:])]
 
         for batch in batches:
             if batch.num_rows:
-                where = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
-                held.append((where, batch.column(2).to_numpy(zero_copy_only=False), _bytes(batch.column(3), 16), _bytes(batch.column(4), dim, np.int8)))
-                yield from groups(False)
-        yield from groups(True)
+                held.append(tuple(c.to_pylist() for c in batch.columns))
+                yield from best(False)
+        yield from best(True)
 
-    return visits.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a binary, b binary, score double")
+    packed = visits.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a binary, bs binary, scores binary")
+    return packed.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a binary, b binary, score double")
 
 
 def _rerank(pairs: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
@@ -216,7 +272,7 @@ def _rerank(pairs: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "fa", "fb"), score, "a binary, b binary, score double")
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, min_score: float | None = None, probes: int = 6, sample: int = 20_000, block: int = 4096) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, min_score: float | None = None, probes: int = 6, sample: int = 20_000, block: int = 8192, fineness: float = 3.5) -> DataFrame:
     """(id, rank, neighbour, score): the ``k`` most similar other ids of each id by cosine; with ``min_score`` only hits that reach it."""
     if dim < 2 or k < 1 or probes < 1:
         raise ValueError("dim must be at least 2, k and probes at least 1")
@@ -225,27 +281,25 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
     points = np.concatenate([_vectors(c, dim)[1] for c in drawn.column(0).chunks] or [np.empty((0, dim), dtype=np.float32)])
     if not len(points):
         return df.sparkSession.createDataFrame([], "id string, rank int, neighbour string, score double")
-    size = codebook_size(rows.count())
+    size = codebook_size(rows.count(), fineness)
     half = dim // 2
     books = [fit_codebook(points[:, :half], size), fit_codebook(points[:, half:], size)]
-    index = materialize(_index(rows, dim, books, probes), "cells")
+    index = materialize(_index(rows, dim, books, probes, np.int16 if min_score is None else np.int8), "cells")
     names = index.select("key", "id").groupBy("id").agg(F.min("key").alias("key"))
     entries = index.select("key", "code", "cells").dropDuplicates(["key"])
     # a crowded cell counts once: at most n / block of them
     hot = {r["cell"]: -(-r["n"] // block) for r in index.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > block).toLocalIterator()}
-    met = _meet(_spread(entries, hot), dim, k, min_score)
-    if min_score is None:  # the best of a query over all its cells
-        by = W.partitionBy("a").orderBy(F.desc("score"), "b")
-        met = met.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 3)
-    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    exact = _rerank(pairs, rows, dim)
-    if min_score is not None:
-        exact = exact.where(F.col("score") >= min_score)
+    visits = _spread(entries, hot)
+    if min_score is None:
+        both = _meet_best(visits, dim, k)
+    else:
+        pairs = _meet(visits, dim, min_score).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        exact = _rerank(materialize(pairs, "pairs"), rows, dim).where(F.col("score") >= min_score)
+        both = exact.select("a", "b", "score").unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        best = W.partitionBy("a").orderBy(F.desc("score"), "b")
+        both = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     first = W.partitionBy("key").orderBy("id")
     members = names.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("key", "id")  # enough for any member
-    both = exact.select("a", "b", "score").unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    best = W.partitionBy("a").orderBy(F.desc("score"), "b")
-    both = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     offers = both.join(members.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), "score", F.col("id").alias("neighbour"))
     twins = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(members, "key").select("key", F.lit(1.0).alias("score"), F.col("id").alias("neighbour"))
     order = W.partitionBy("key").orderBy(F.desc("score"), "neighbour")

@@ -83,7 +83,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", probes=8)
+    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", probes=8, fineness=0.4)
     return hits.select(F.col("id").alias("query_id"), F.col("neighbour").alias("chunk_id"), "score", "rank")
 
 
