@@ -27,7 +27,7 @@ def norm(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine within [-1, 1]; null if a vector is zero or the lengths differ."""
     raw = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    return F.when((F.size(a) == F.size(b)) & raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def is_valid(v: Column, dim: int) -> Column:
