@@ -46,15 +46,15 @@ def codebook_size(n: int, fineness: float = 3.5) -> int:
 
 
 def fit_codebook(sample: np.ndarray, size: int, rounds: int = 8) -> np.ndarray:
-    """Centroids by Lloyd's rounds from evenly spaced rows of the sample; empty ones stay where they are."""
-    size = min(size, len(sample))
-    centres = sample[np.linspace(0, len(sample) - 1, size).astype(int)].copy()
+    """Centroids by Lloyd's rounds from evenly spaced distinct rows of the sample; empty ones are given up."""
+    points = np.unique(sample, axis=0)
+    centres = points[np.unique(np.linspace(0, len(points) - 1, min(size, len(points))).astype(int))]
     for _ in range(rounds):
         near = np.argmax(sample @ centres.T - 0.5 * (centres * centres).sum(1), axis=1)
-        n = np.bincount(near, minlength=size)
         order = np.argsort(near, kind="stable")
-        sums = np.add.reduceat(sample[order], np.minimum(np.concatenate([[0], np.cumsum(n)[:-1]]), len(sample) - 1), axis=0)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres).astype(np.float32)
+        n = np.bincount(near, minlength=len(centres))
+        n = n[n > 0]
+        centres = (np.add.reduceat(sample[order], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]).astype(np.float32)
     return centres
 
 
