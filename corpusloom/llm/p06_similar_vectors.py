@@ -277,11 +277,13 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
     if dim < 2 or k < 1 or probes < 1:
         raise ValueError("dim must be at least 2, k and probes at least 1")
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()  # at most ``sample`` vectors
+    n = rows.count()
+    drawn = rows if n <= sample else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(1.1 * sample / n * (1 << 30)) + 1)
+    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()  # at most ``sample`` vectors
     points = np.concatenate([_vectors(c, dim)[1] for c in drawn.column(0).chunks] or [np.empty((0, dim), dtype=np.float32)])
     if not len(points):
         return df.sparkSession.createDataFrame([], "id string, rank int, neighbour string, score double")
-    size = codebook_size(rows.count(), fineness)
+    size = codebook_size(n, fineness)
     half = dim // 2
     books = [fit_codebook(points[:, :half], size), fit_codebook(points[:, half:], size)]
     index = materialize(_index(rows, dim, books, probes, np.int16 if min_score is None else np.int8), "cells")
