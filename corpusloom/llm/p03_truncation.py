@@ -4,7 +4,7 @@ Method: a backward character n-gram model.  For the last ``n`` characters of
 every value it is counted, over all texts, how often a text ends after them and
 how often it goes on.  The log-odds of an end, interpolated from short contexts
 to long ones and without the value's own end, are held against a threshold for
-each language and column, which splits the histogram of all values in two.
+each language and column, the emptiest place in the histogram of all values.
 
 Counts are kept for contexts that end some value only.  These contexts are
 known by a hash of ``BITS`` bits, so that the set that reaches the executors is
@@ -18,6 +18,7 @@ likely as continuations; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -33,7 +34,9 @@ from corpusloom.storage import materialize
 ORDERS = (3, 6, 10, 15)
 BITS = 22
 TAIL = 256
-_LOWEST, _HIGHEST, _BINS = -14.0, 10.0, 480
+#: A character reference, or its beginning, that a cut left at the end.
+_FRAGMENT = re.compile(r"&(?:#[xX]?[0-9A-Fa-f]{0,6}|[A-Za-z]{0,8});?$")
+_LOWEST, _HIGHEST, _BINS, _WINDOW = -14.0, 10.0, 480, 15
 _TABLE: list[np.ndarray] = []
 
 
@@ -72,9 +75,9 @@ def tail_contexts(tail: str) -> list[int] | None:
     """The bucket of each order's context at the end of a text; null for blank texts, -1 for orders longer than the text.
 
     Look-alike characters are set right first; punctuation at the end, with it
-    marks of omission, plays no part.
+    marks of omission, and a broken character reference play no part.
     """
-    codes = _table()[code_points(unify(tail))]
+    codes = _table()[code_points(_FRAGMENT.sub("", unify(tail).rstrip()))]
     codes, _ = _condense(codes, np.zeros(len(codes), dtype=np.int8))
     while len(codes) and codes[-1] == 32:
         codes = codes[:-1]
@@ -143,18 +146,16 @@ def end_scores(df: DataFrame, id_col: str, text_col: str, group_cols: list[str])
 
 
 def _threshold(histogram: dict[int, int]) -> float:
-    """The cut that separates two classes best (largest variance between them), between -7 and -1."""
+    """The emptiest place between -7 and -1: the middle of the longest stretch where a window of the histogram holds least."""
     n = np.zeros(_BINS)
     for k, v in histogram.items():
         n[k] = v
     x = _LOWEST + (np.arange(_BINS) + 0.5) * (_HIGHEST - _LOWEST) / _BINS
-    w, s = np.cumsum(n), np.cumsum(n * x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = (s[-1] * w / w[-1] - s) ** 2 / (w * (w[-1] - w))
-    between = np.where((x < -1) & (x > -7), np.nan_to_num(between, nan=-1.0), -1.0)
-    best = between.max()
-    flat = np.nonzero(between >= best - 1e-12 * max(best, 1))[0]
-    return float(x[flat].mean())
+    near = np.convolve(n, np.ones(_WINDOW), mode="same")
+    inside = np.nonzero((x > -7) & (x < -1))[0]
+    least = inside[near[inside] == near[inside].min()]
+    runs = np.split(least, np.nonzero(np.diff(least) > 1)[0] + 1)
+    return float(x[max(runs, key=len)].mean())
 
 
 def truncated(df: DataFrame, id_col: str, text_col: str, group_cols: list[str] | None = None) -> DataFrame:
