@@ -11,14 +11,16 @@ from pyspark.sql import Window as W
 OVERFETCH, MOST = 5, 100
 
 
-def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int, dim: int, min_score: float | None = None, blocks: int = 8, query_block: int = 2048) -> DataFrame:
+def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int, dim: int, min_score: float | None = None, slice_rows: int = 65_536, query_block: int = 2048) -> DataFrame:
     """(query_id, item_id, score): the exact ``k`` nearest items of each query by cosine.
 
     Queries are a stated set.  They are cut into blocks of ``query_block`` and
-    each block meets every slice of the items once, as a matrix product; a
-    slice returns its ``k`` best for each query, which are then merged.  Ties go
-    to the lesser id; invalid vectors take no part; a query is no hit of itself.
+    each block meets every slice of about ``slice_rows`` items once, as a matrix
+    product; a slice returns its ``k`` best for each query, which are then
+    merged.  A group never holds more than one block and one slice.  Ties go to
+    the lesser id; invalid vectors take no part; a query is no hit of itself.
     """
+    blocks = max(1, -(-items.count() // slice_rows))
     q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(True).alias("is_query"))
     n_blocks = max(1, -(-queries.count() // query_block))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -41,18 +43,20 @@ def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int,
         items_, ni = m[~isq], names[~isq]
         order = np.argsort(ni, kind="stable")
         items_, ni = items_[order], ni[order]
-        for vec, name in zip(m[isq], names[isq]):
-            s = np.round(items_ @ vec, 12)
-            if len(s) > k + 1:  # everything that ties with the last place stays in the running
-                floor = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                near = np.nonzero(s >= floor)[0]
-            else:
-                near = np.arange(len(s))
-            near = near[np.argsort(-s[near], kind="stable")]
-            near = [i for i in near if ni[i] != name][:k]
-            out_q += [name] * len(near)
-            out_i += ni[near].tolist()
-            out_s += s[near].tolist()
+        wanted, asked = m[isq], names[isq]
+        for at in range(0, len(wanted), 128):
+            scores = np.round(wanted[at : at + 128] @ items_.T, 12)
+            many = scores.shape[1]
+            for s, name in zip(scores, asked[at : at + 128]):
+                if many > k + 1:  # everything that ties with the last place stays in the running
+                    near = np.nonzero(s >= np.partition(s, many - k - 1)[many - k - 1])[0]
+                else:
+                    near = np.arange(many)
+                near = near[np.argsort(-s[near], kind="stable")]
+                near = [i for i in near if ni[i] != name][:k]
+                out_q += [name] * len(near)
+                out_i += ni[near].tolist()
+                out_s += s[near].tolist()
         t = group.schema.field("id").type
         return pa.table({"query_id": pa.array(out_q, t), "item_id": pa.array(out_i, t), "score": pa.array(out_s, pa.float64())})
 

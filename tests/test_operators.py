@@ -65,7 +65,7 @@ def test_labels_and_violations(spark):
 def test_knn_order_and_ties(spark):
     x = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, None), (6, [0.0, 0.0, 0.0])], "id long, v array<float>")
     q = spark.createDataFrame([(9, [0.9, 0.1, 0.0])], "id long, v array<float>")
-    got = search.knn(q, x, "id", "v", 3, 3, blocks=2).orderBy("rank").collect()
+    got = search.knn(q, x, "id", "v", 3, 3, slice_rows=2).orderBy("rank").collect()
     assert [r["item_id"] for r in got] == [1, 4, 2]
     assert search.knn(q, x, "id", "v", 3, 3, min_score=0.999).count() == 0
     assert search.knn(q.limit(0), x, "id", "v", 3, 3).count() == 0
