@@ -149,9 +149,8 @@ class FingerprintLog:
         every = self._read([new]).withColumn("fresh", F.lit(True))
         if self.runs:
             every = every.unionByName(self._read(self.runs).withColumn("fresh", F.lit(False)))
-        mark = F.xxhash64("tid")
-        shared = every.groupBy("fp").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        known = every.join(shared.select("fp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "fp").withColumn("at", F.pmod(mark, F.col("blocks")).cast("int"))
+        shared = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+        known = every.join(shared.select("fp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "fp").withColumn("at", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
         a = known.where("fresh").select("fp", F.col("tid").alias("tid_a"), F.col("before").alias("before_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
         b = known.select("fp", "at", F.col("tid").alias("tid_b"), F.col("before").alias("before_b"), "fresh")
         # if the fingerprints before them are equal too, the pair came out there
