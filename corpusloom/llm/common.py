@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], "pa.RecordBatch | Iterator[pa.RecordBatch]"], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], "pa.RecordBatch | Iterator[pa.RecordBatch]"], schema: str | T.StructType) -> DataFrame:
     """Apply a function to each Arrow batch; empty batches are skipped."""
 
     def run(batches):
@@ -24,6 +26,18 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], "pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """``df`` with columns computed from the texts of one; columns of the same names, in any case, are replaced."""
+    taken = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("\x01text"))
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.columns[-1].to_pylist())], names=[*kept, *(f.name for f in fields)])
+
+    return arrow_map(rows, per_batch, T.StructType([*rows.schema.fields[:-1], *fields]))
+
+
 def code_points(text: str) -> np.ndarray:
     """A text as an array of Unicode code points (lone surrogates are kept)."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

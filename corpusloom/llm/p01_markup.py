@@ -13,7 +13,8 @@ Defined cases: a null page has null text and no structures; an empty page has
 empty text; markup shown as escaped text is markup, that in scripts, styles and
 comments is not; unclosed tags end with their parent or the page; a page of a
 single path is content as a whole; repeated rows give repeated results; an
-empty input gives an empty result; other columns pass through.
+empty input gives an empty result; other columns pass through, those with the
+names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import arrow_map
+from corpusloom.llm.common import add_columns
 
 HEADING, LIST, TABLE, CODE, FORMULA = "baslik", "liste", "tablo", "kod", "formul"
 #: Tags that start a block, tags whose content is no text, and all tags that are known when shown as text.
@@ -363,13 +364,9 @@ def convert(source: str) -> tuple[str, list[str]]:
 
 def clean_text(df: DataFrame, source_col: str, out_col: str = "clean_text", kinds_col: str = "structures") -> DataFrame:
     """``df`` with clean text and the kinds of structure that the markup of a column expresses."""
-    names = df.columns
-    if {out_col, kinds_col} & set(names):
-        raise ValueError("there is a column of that name already")
-    at = names.index(source_col)
 
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(None, []) if s is None else convert(s) for s in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=[*names, out_col, kinds_col])
+    def compute(pages: list) -> list[pa.Array]:
+        out = [(None, []) if s is None else convert(s) for s in pages]
+        return [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string()))]
 
-    return arrow_map(df, per_batch, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType()), T.StructField(kinds_col, T.ArrayType(T.StringType()))]))
+    return add_columns(df, source_col, [T.StructField(out_col, T.StringType()), T.StructField(kinds_col, T.ArrayType(T.StringType()))], compute)

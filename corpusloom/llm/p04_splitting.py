@@ -11,7 +11,8 @@ Defined cases: a null text has no pieces, nor has one of white space only; a
 text within the limit is one piece as it is; white space between pieces
 belongs to none; a run without white space that exceeds the limit is cut hard,
 a run that just fits keeps whole and has less overlap; repeated rows give
-repeated results; an empty input gives an empty result.
+repeated results; an empty input gives an empty result; other columns pass
+through, one with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import arrow_map
+from corpusloom.llm.common import add_columns
 
 HARD, WORD, SENTENCE, PARAGRAPH, END = range(5)
 KINDS = ("hard", "word", "sentence", "paragraph", "end")
@@ -136,27 +137,20 @@ def with_pieces(df: DataFrame, text_col: str, limit: int = 1200, overlap: int =
     """``df`` with the pieces of a text column as offsets; null where the text is null."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
-    names = df.columns
-    if out_col in names:
-        raise ValueError(f"there is a column {out_col} already")
-    at = names.index(text_col)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("overlap", pa.int32()), ("boundary", pa.string())]))
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("overlap", pa.int32()), ("boundary", pa.string())])
 
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def compute(texts: list) -> list[pa.Array]:
         cuts, rows = [0], [[], [], [], []]
-        missing = []
-        for t in batch.column(at).to_pylist():
-            missing.append(t is None)
+        for t in texts:
             for piece in split(t, limit, overlap) if t is not None else ():
                 for column, x in zip(rows, piece):
                     column.append(x)
             cuts.append(len(rows[0]))
+        missing = np.array([*(t is None for t in texts), False])
         fields = [*(pa.array(c, pa.int32()) for c in rows[:3]), pa.array([KINDS[k] for k in rows[3]], pa.string())]
-        offsets = pa.array(cuts, pa.int32(), mask=None if not any(missing) else np.array([*missing, False]))
-        pieces = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pieces], names=[*names, out_col])
+        return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32(), mask=missing if missing.any() else None), pa.StructArray.from_arrays(fields, fields=list(kind)))]
 
-    return arrow_map(df, per_batch, T.StructType([*df.schema.fields, T.StructField(out_col, _PIECES)]))
+    return add_columns(df, text_col, [T.StructField(out_col, _PIECES)], compute)
 
 
 def oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1200, overlap: int = 200) -> DataFrame:

@@ -15,7 +15,8 @@ Defined cases: a null text stays null and holds nothing; an empty text stays
 empty; masked values, initials, names inside companies, places or addresses,
 and file, tracking, bar-code and account numbers do not count; spans never
 overlap (the earlier and longer one counts); repeated rows give repeated
-results; an empty input gives an empty result; other columns pass through.
+results; an empty input gives an empty result; other columns pass through, one
+with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import arrow_map
+from corpusloom.llm.common import add_columns, arrow_map
 
 #: Common given names.
 GIVEN_NAMES = """
@@ -319,13 +320,4 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def pseudonymised(df: DataFrame, text_col: str, key: bytes, out_col: str = "safe_text") -> DataFrame:
     """``df`` with the text column's personal information replaced in ``out_col``."""
-    names = df.columns
-    if out_col in names:
-        raise ValueError(f"there is a column {out_col} already")
-    at = names.index(text_col)
-
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [None if t is None else replace(t, key) for t in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, out_col])
-
-    return arrow_map(df, per_batch, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return add_columns(df, text_col, [T.StructField(out_col, T.StringType())], lambda texts: [pa.array([None if t is None else replace(t, key) for t in texts], pa.string())])

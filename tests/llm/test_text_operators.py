@@ -70,8 +70,8 @@ def test_markup_column(spark):
     x = spark.createDataFrame([(1, None, "z"), (2, "", "z"), (3, "<h1>a</h1>", "z"), (3, "<h1>a</h1>", "z")], "id int, page string, clean string")
     got = p01.clean_text(x, "page").orderBy("id").collect()
     assert got[0]["clean_text"] is None and got[1]["clean_text"] == "" and [r["structures"] for r in got[2:]] == [["baslik"]] * 2
-    with pytest.raises(ValueError):
-        p01.clean_text(x, "page", out_col="clean")
+    again = p01.clean_text(p01.clean_text(x, "page", out_col="CLEAN"), "page", out_col="page", kinds_col="clean").orderBy("id").collect()
+    assert again[2]["page"] == "# a" and again[2]["clean"] == ["baslik"]
     assert p01.clean_text(x.limit(0), "page").count() == 0
 
 
@@ -96,6 +96,9 @@ def test_lookalike_columns(spark):
     assert [r[0] for r in p02.cases(x, "id", "t").collect()] == ["2"]
     assert {(r["grp"], r["records"], r["forms"]) for r in p02.look_alike_groups(x, "id", "t").collect()} == {("1", 3, 2), ("4", 1, 1)}
     assert p02.cases(x.limit(0), "id", "t").count() == 0
+    clash = x.selectExpr("id as kayit", "t as unified", "id as Text", "t")
+    assert sorted(r[0] or "" for r in p02.consistent_form(clash, "t").select("unified").collect()) == ["", "", "AB", "pay", "pay", "pay"]
+    assert [r[0] for r in p02.cases(clash, "kayit", "t").collect()] == ["2"]
 
 
 def test_truncation(spark):
@@ -158,7 +161,8 @@ def test_feistel_is_a_permutation():
 def test_pii_columns(spark):
     x = spark.createDataFrame([(1, "a@b.example c@d.example"), (2, None), (3, ""), (1, "a@b.example c@d.example")], "doc_id long, text string")
     assert sorted((r["id"], r["pii_type"], r["seq"]) for r in p10.occurrences(x, "doc_id", "text").collect()) == [(1, "email", 1), (1, "email", 1), (1, "email", 2), (1, "email", 2)]
-    got = p10.pseudonymised(x, "text", b"k").orderBy("doc_id").collect()
+    assert p10.occurrences(x.selectExpr("doc_id", "text", "doc_id as id", "text as pii_type"), "doc_id", "text").count() == 4
+    got = p10.pseudonymised(x.selectExpr("*", "'x' as safe_text"), "text", b"k").orderBy("doc_id").collect()
     assert got[0]["safe_text"].count("[EMAIL:") == 2 and got[2]["safe_text"] is None and got[3]["safe_text"] == ""
 
 
