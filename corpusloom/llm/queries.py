@@ -64,7 +64,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p04.exploded(_oversized(spark, sf_dir, "imported_decisions", "karar_metni")).distinct()
+    parts = [p04.exploded(_oversized(spark, sf_dir, name, column)).select(F.lit(name).alias("tablo"), "*") for name, column in (("imported_decisions", "karar_metni"), ("text_chunks", "chunk_metni"))]
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
