@@ -31,6 +31,9 @@ def p1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("satir_no", "clean_text", F.array_join("structures", ",").alias("structures"))
 
 
+P2_COLUMNS = (("imported_decisions", "id", "karar_metni"), ("search_requests", "istek_id", "olay"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = p02.cases(table(spark, sf_dir, "imported_decisions"), "id", "karar_metni")
     requests = p02.cases(table(spark, sf_dir, "search_requests"), "istek_id", "olay")
@@ -38,7 +41,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_look_alike_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p02.look_alike_groups(table(spark, sf_dir, "search_requests"), "istek_id", "olay").where("forms > 1")
+    parts = [p02.look_alike_groups(table(spark, sf_dir, name), key, column).where("forms > 1").select(F.lit(name).alias("tablo"), "*") for name, key, column in P2_COLUMNS]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every row of both tables; no text is shuffled, so rows delivered again come out again."""
+    parts = [p02.consistent_form(table(spark, sf_dir, name).select(F.lit(name).alias("tablo"), F.col(key).cast("string").alias("kayit"), F.col(column).alias("text")), "text") for name, key, column in P2_COLUMNS]
+    return parts[0].unionByName(parts[1]).select("tablo", "kayit", "unified")
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean_text": p1_clean_text,
     "p2_found": p2_found,
     "p2_look_alike_groups": p2_look_alike_groups,
+    "p2_unified": p2_unified,
     "p3_found": p3_found,
     "p3_source_shares": p3_source_shares,
     "p4_found": p4_found,
