@@ -11,7 +11,7 @@ known by a hash of ``BITS`` bits, so that the set that reaches the executors is
 bounded by 2**BITS bits for each order, however many texts there are.
 
 Defined cases: null and blank texts are not cut; punctuation, and so a mark of
-omission after the end, is set aside; exact copies count once in the model; an empty input gives an
+omission after the end, is set aside; exact copies count once in the model, in ends, continuations and the histogram; an empty input gives an
 empty result; the boundary between the classes is never set where ends are as
 likely as continuations; other columns are ignored, whatever their names.
 """
@@ -33,6 +33,7 @@ from corpusloom.storage import materialize
 
 ORDERS = (3, 6, 10, 15)
 BITS = 22
+SLOTS = 1 << 20  # of digests that repeat; bounds what is broadcast
 TAIL = 256
 #: A character reference, or its beginning, that a cut left at the end.
 _FRAGMENT = re.compile(r"&(?:#[xX]?[0-9A-Fa-f]{0,6}|[A-Za-z]{0,8});?$")
@@ -127,8 +128,18 @@ def _continuations(df: DataFrame, text_col: str, wanted) -> DataFrame:
     return parts.groupBy("context").agg(F.sum("goes_on").alias("goes_on"))
 
 
+def _once(df: DataFrame, id_col: str, text_col: str, tails: DataFrame) -> DataFrame:
+    """(text): one row for each text digest; texts move only where the slot of their digest holds one that repeats."""
+    slot = F.pmod("tid", F.lit(SLOTS))
+    repeated = materialize(tails.groupBy("tid").count().where("count > 1").select(slot.alias("slot")).distinct(), "repeated")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).withColumn("slot", slot)
+    alone = rows.join(F.broadcast(repeated), "slot", "left_anti")
+    again = rows.join(F.broadcast(repeated), "slot", "left_semi").dropDuplicates(["tid"])
+    return alone.select("text").unionByName(again.select("text"))
+
+
 def end_scores(df: DataFrame, id_col: str, text_col: str, group_cols: list[str]) -> DataFrame:
-    """(id, grp, log_odds) of every value: the log-odds of an end after its final context."""
+    """(id, tid, grp, log_odds) of every value: the digest of its text and the log-odds of an end after its final context."""
     tails = materialize(_tails(df, id_col, text_col, group_cols), "tails")
     ends = tails.where("contexts is not null").dropDuplicates(["tid"]).select(F.posexplode("contexts").alias("k", "b")).where("b >= 0")
     ends = materialize(ends.groupBy((F.col("k").cast("long") * (1 << BITS) + F.col("b")).alias("context")).agg(F.count("*").alias("ends")), "ends")
@@ -136,13 +147,13 @@ def end_scores(df: DataFrame, id_col: str, text_col: str, group_cols: list[str])
     flat[np.array([r[0] for r in ends.select("context").toLocalIterator()], dtype=np.int64)] = 1  # at most 2**BITS for each order
     spark = df.sparkSession
     wanted = spark.sparkContext.broadcast(np.packbits(flat).tobytes())
-    counts = ends.join(_continuations(df, text_col, wanted), "context", "left").select("context", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
+    counts = ends.join(_continuations(_once(df, id_col, text_col, tails), "text", wanted), "context", "left").select("context", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
     finals = tails.where("contexts is not null").select("tid", F.posexplode("contexts").alias("k", "b")).where("b >= 0").distinct()
     seen = finals.withColumn("context", F.col("k").cast("long") * (1 << BITS) + F.col("b")).join(counts, "context")
     odds = seen.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("ends") - 1).alias("e"), "goes_on"))).alias("c"))  # at most one entry for each order
     p = F.aggregate("c", F.lit(1e-3), lambda p, x: (x["e"] + p * 4) / (x["e"] + x["goes_on"] + 4))
     odds = odds.withColumn("p", p).select("tid", F.log(F.col("p") / (1 - F.col("p") + 1e-9)).alias("log_odds"))
-    return tails.join(odds, "tid").select("id", "grp", "log_odds")
+    return tails.join(odds, "tid").select("id", "tid", "grp", "log_odds")
 
 
 def _threshold(histogram: dict[int, int]) -> float:
@@ -159,14 +170,14 @@ def _threshold(histogram: dict[int, int]) -> float:
 
 
 def truncated(df: DataFrame, id_col: str, text_col: str, group_cols: list[str] | None = None) -> DataFrame:
-    """(id, grp, log_odds, threshold, cut) of every value that is not blank; a threshold for each group, taken from all of its values.
+    """(id, grp, log_odds, threshold, cut) of every value that is not blank; a threshold for each group, taken from all of its different texts.
 
     ``group_cols`` name the language and the column of a value; there are few
     groups, of which only histograms of fixed size reach the driver.
     """
     scores = materialize(end_scores(df, id_col, text_col, group_cols or []), "scores")
     width = (_HIGHEST - _LOWEST) / _BINS
-    bins = scores.groupBy("grp", F.least(F.greatest(F.floor((F.col("log_odds") - _LOWEST) / width), F.lit(0)), F.lit(_BINS - 1)).alias("bin")).count()
+    bins = scores.select("grp", "tid", "log_odds").distinct().groupBy("grp", F.least(F.greatest(F.floor((F.col("log_odds") - _LOWEST) / width), F.lit(0)), F.lit(_BINS - 1)).alias("bin")).count()
     by: dict[tuple, dict[int, int]] = {}
     for r in bins.toLocalIterator():
         by.setdefault(tuple(r["grp"]), {})[r["bin"]] = r["count"]
