@@ -1,10 +1,12 @@
 """Problem 8: filling fixed-capacity containers with items.
 
 Method: lexical retrieval packing.  Documents are dealt to shards of about
-``shard_docs`` by a hash of their id, so that no source, however large, makes a
-shard larger.  Each shard holds a BM25 inverted index of its documents, with
-document frequencies over all documents; postings are pruned to the ``terms``
-tokens of highest impact in each document.  The longest unused item seeds a
+``shard_docs`` by their words: a tree of two-means splits, fitted on a sample in
+the space of its main lexical axes, whose neighbouring leaves make a shard.
+Where a shard gets too many, it is split by a hash of the words, so that exact
+repeats stay together, and what still is too large by a hash of the id.  Each
+shard holds a BM25 inverted index of its documents, with all of their tokens and
+document frequencies over all documents.  The longest unused item seeds a
 container; its unused neighbours, best first, fill it as far as they fit, and
 what space is left goes to the largest unused items that still fit.
 
@@ -76,44 +78,150 @@ def _frequencies(bags: DataFrame) -> tuple[np.ndarray, int, float]:
     return df[:IDS], int(df[IDS]), float(df[IDS + 1]) / max(1, int(df[IDS]))
 
 
-def _impacts(bags: DataFrame, df: np.ndarray, n: int, mean: float, terms: int, shards: int) -> DataFrame:
-    """(shard, id, n_tokens, postings): the ``terms`` tokens of highest BM25 impact of each document."""
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+def _postings(size: int, data: bytes, idf: np.ndarray, mean: float) -> bytes:
+    """The tokens of a document and their BM25 impacts."""
+    ids, tf = _bag(data)
+    w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    return ids.astype("<u2").tobytes() + w.astype("<f4").tobytes()
+
+
+def _terms(postings: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(postings) // 3
+    return np.frombuffer(postings[:n], dtype="<u2").astype(np.int64), np.frombuffer(postings[n:], dtype="<f4")
+
+
+def _coordinates(postings: list[bytes], axes: np.ndarray) -> np.ndarray:
+    """Where documents lie on the axes, at length one."""
+    out = np.zeros((len(postings), axes.shape[1]), dtype=np.float32)
+    for i, p in enumerate(postings):
+        ids, w = _terms(p)
+        out[i] = w @ axes[ids]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _axes(postings: list[bytes], dims: int = 32, rounds: int = 3) -> np.ndarray:
+    """The main lexical axes of a sample, by subspace iteration: a row for each token."""
+    rows = [(ids, w / max(float(np.linalg.norm(w)), 1e-9)) for ids, w in map(_terms, postings)]
+    axes = np.random.default_rng(8).normal(size=(IDS, dims)).astype(np.float32)
+    for _ in range(rounds):
+        image = np.zeros((IDS, dims), dtype=np.float32)
+        for ids, w in rows:  # the tokens of a document are distinct
+            image[ids] += np.outer(w, w @ axes[ids])
+        used = np.nonzero(image.any(axis=1))[0]
+        axes = np.zeros_like(image)
+        q = np.linalg.qr(image[used])[0]
+        axes[used, : q.shape[1]] = q
+    return axes
+
+
+def _tree(points: np.ndarray, leaf: float, shard: float) -> list[tuple]:
+    """Nodes (normal, offset, low, high) of two-means splits of a sample; a child below 0 is shard -1 - child.
+
+    Leaves of at most ``leaf`` points are joined in their order to shards of at most ``shard``.
+    """
+    nodes: list[list] = []
+    stack: list[tuple] = [(np.arange(len(points)), -1, 0)]  # the points of a branch, its parent and its side
+    held, name = 0, 0
+    while stack:
+        at, parent, side = stack.pop()
+        x, sides = points[at], None
+        if len(at) > leaf:
+            away = x - x.mean(axis=0)
+            normal = away[np.argmax((away**2).sum(axis=1))]
+            offset = np.float32(normal @ x.mean(axis=0))
+            for _ in range(8):
+                high = x @ normal > offset
+                if high.all() or not high.any():
+                    break
+                c0, c1 = x[~high].mean(axis=0), x[high].mean(axis=0)
+                normal, offset = c1 - c0, np.float32((c1 @ c1 - c0 @ c0) / 2)
+            sides = x @ normal > offset
+        if sides is None or sides.all() or not sides.any():
+            if held and held + len(at) > shard:
+                held, name = 0, name + 1
+            held += len(at)
+            child = -1 - name
+        else:
+            child = len(nodes)
+            nodes.append([normal, offset, 0, 0])
+            stack += [(at[sides], child, 3), (at[~sides], child, 2)]
+        if parent >= 0:
+            nodes[parent][side] = child
+    return [tuple(x) for x in nodes]
+
+
+def _fall(points: np.ndarray, nodes: list[tuple]) -> np.ndarray:
+    """The shard of each point."""
+    out = np.zeros(len(points), dtype=np.int32)
+    stack = [(0, np.arange(len(points)))] if nodes else []
+    while stack:
+        k, at = stack.pop()
+        high = points[at] @ nodes[k][0] > nodes[k][1]
+        for child, some in ((nodes[k][2], at[~high]), (nodes[k][3], at[high])):
+            if child < 0:
+                out[some] = -1 - child
+            elif len(some):
+                stack.append((child, some))
+    return out
+
+
+def dealt(bags: DataFrame, idf: np.ndarray, n: int, mean: float, shard_docs: int, sample: int = 20_000) -> DataFrame:
+    """(shard, part, rest, id, n_tokens, bag): the first three name the shard of each document."""
+    if n <= shard_docs:
+        return bags.select(F.lit(0).alias("shard"), F.lit(0).alias("part"), F.lit(0).alias("rest"), "id", "n_tokens", "bag")
+    drawing = bags.select("n_tokens", "bag", F.xxhash64("id", "bag").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / n) * (1 << 30)))  # else every partition would send as many
+    some = drawing.orderBy("h", "n_tokens", "bag").limit(sample).toArrow()
+    drawn = [_postings(size, data, idf, mean) for size, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist())]
+    axes = _axes(drawn[:4000])
+    share = shard_docs * len(drawn) / n
+    nodes = _tree(_coordinates(drawn, axes), max(8.0, share / 4), share)
+    fitted = bags.sparkSession.sparkContext.broadcast((axes, nodes))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for size, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            ids, tf = _bag(data)
-            w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            if len(ids) > terms:
-                best = np.sort(np.argpartition(-w, terms)[:terms])
-                ids, w = ids[best], w[best]
-            out.append(ids.astype("<u2").tobytes() + w.astype("<f4").tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["shard", "id", "n_tokens", "postings"])
+        axes, nodes = fitted.value
+        points = _coordinates([_postings(size, data, idf, mean) for size, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], axes)
+        return pa.RecordBatch.from_arrays([pa.array(_fall(points, nodes)), *batch.columns], names=["shard", "id", "n_tokens", "bag"])
 
-    rows = bags.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "n_tokens", "bag")
-    return arrow_map(rows, per_batch, "shard int, id string, n_tokens int, postings binary")
+    rows = materialize(arrow_map(bags.select("id", "n_tokens", "bag"), per_batch, "shard int, id string, n_tokens int, bag binary"), "dealt")
+    for column, by, key in (("part", ["shard"], "bag"), ("rest", ["shard", "part"], "id")):
+        crowded = rows.groupBy(*by).count().where(F.col("count") > 1.5 * shard_docs).select(*by, F.ceil(F.col("count") / shard_docs).alias("split"))  # few: each has many documents
+        rows = rows.join(F.broadcast(crowded), by, "left").withColumn(column, F.pmod(F.xxhash64(key), F.coalesce("split", F.lit(1))).cast("int")).drop("split")
+    return rows.select("shard", "part", "rest", "id", "n_tokens", "bag")
 
 
 class InvertedIndex:
-    """Postings of a shard, by token."""
+    """Postings of a shard, by token; those of tokens that many of its documents hold are kept as rows of a matrix."""
+
+    BLOCK = 256
 
     def __init__(self, postings: list[bytes]):
-        self.terms = [np.frombuffer(p[: len(p) // 3], dtype="<u2").astype(np.int64) for p in postings]
-        docs = np.repeat(np.arange(len(postings)), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if postings else np.empty(0, dtype=np.int64)
-        weight = np.concatenate([np.frombuffer(p[len(p) // 3 :], dtype="<f4") for p in postings]) if postings else np.empty(0)
+        self.n = len(postings)
+        both = [_terms(p) for p in postings]
+        docs = np.repeat(np.arange(self.n), [len(t) for t, _ in both])
+        term = np.concatenate([t for t, _ in both]) if both else np.empty(0, dtype=np.int64)
+        weight = np.concatenate([w for _, w in both]) if both else np.empty(0, dtype=np.float32)
+        held = np.bincount(term, minlength=IDS)
+        frequent = held > max(8, self.n // 12)
+        place = np.cumsum(frequent) - 1
+        many = frequent[term]
+        self.impact = np.zeros((int(frequent.sum()), self.n), dtype=np.float32)
+        self.impact[place[term[many]], docs[many]] = weight[many]
+        self.docs, self.weight, term = docs[~many], weight[~many].astype(np.float64), term[~many]
+        self.terms = np.split(term, np.searchsorted(self.docs, np.arange(1, self.n))) if self.n else []
         order = np.argsort(term, kind="stable")
-        self.docs, self.weight = docs[order], weight[order].astype(np.float64)
+        self.docs, self.weight = self.docs[order], self.weight[order]
         self.start = np.searchsorted(term[order], np.arange(IDS + 1))
-        self.n = len(postings)
+        self.blocks: dict[int, np.ndarray] = {}
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for the terms of one."""
+        """BM25 scores of all documents of the shard for all terms of one."""
+        k, row = divmod(doc, self.BLOCK)
+        if k not in self.blocks:
+            self.blocks[k] = (self.impact[:, k * self.BLOCK : (k + 1) * self.BLOCK] > 0).astype(np.float32).T @ self.impact
         t = self.terms[doc]
-        s, e = self.start[t], self.start[t + 1]
-        at = np.concatenate([np.arange(a, b) for a, b in zip(s.tolist(), e.tolist())]) if len(t) else np.empty(0, dtype=np.int64)
-        return np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
+        s, n = self.start[t], self.start[t + 1] - self.start[t]
+        at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.blocks[k][row] + np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
 
 
 def pack(sizes: np.ndarray, index: InvertedIndex, capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -153,7 +261,7 @@ def pack(sizes: np.ndarray, index: InvertedIndex, capacity: int) -> list[list[tu
     return full + containers
 
 
-def packed(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int], shard_docs: int = 2000, terms: int = 48, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int], shard_docs: int = 2000, vocabulary: str = VOCABULARY) -> DataFrame:
     """(pack_name, container, id, first_token, n_tokens): where each part of each document went, for every capacity."""
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
@@ -161,21 +269,20 @@ def packed(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int]
     frequency, n, mean = _frequencies(bags)
     if not n:
         return df.sparkSession.createDataFrame([], "pack_name string, container string, id string, first_token int, n_tokens int")
-    shards = -(-n // shard_docs)
-    impacts = _impacts(bags, frequency, n, mean, terms, shards)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
 
     def per_shard(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["id", "n_tokens"], kind="stable").reset_index(drop=True)
-        index, sizes, ids = InvertedIndex(shard["postings"].tolist()), shard["n_tokens"].to_numpy().astype(np.int64), shard["id"].tolist()
+        index, sizes, ids = InvertedIndex([_postings(size, data, idf, mean) for size, data in zip(shard["n_tokens"], shard["bag"])]), shard["n_tokens"].to_numpy().astype(np.int64), shard["id"].tolist()
         out: list[tuple] = []
         for name, capacity in capacities.items():
             for c, parts in enumerate(pack(sizes, index, capacity)):
-                label = f"{name}-{shard['shard'].iat[0]}-{c}"
+                label = f"{name}-{shard['shard'].iat[0]}.{shard['part'].iat[0]}.{shard['rest'].iat[0]}-{c}"
                 out += [(name, label, ids[d], a, k) for d, a, k in parts]
         return pd.DataFrame(out, columns=["pack_name", "container", "id", "first_token", "n_tokens"])
 
     # a task takes whole shards, of bounded size; their number grows with the collection
-    return impacts.groupBy("shard").applyInPandas(per_shard, "pack_name string, container string, id string, first_token int, n_tokens int")
+    return dealt(bags, idf, n, mean, shard_docs).groupBy("shard", "part", "rest").applyInPandas(per_shard, "pack_name string, container string, id string, first_token int, n_tokens int")
 
 
 def fill_report(placed: DataFrame, capacities: dict[str, int]) -> DataFrame:
