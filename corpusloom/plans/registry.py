@@ -574,4 +574,6 @@ def hourly_events(spark, d):
 
 @query()
 def table_digest(spark, d):
-    return records.order_free_digest(table(spark, d, "chambers"))
+    """The digests of the cleaned and of the chunked corpus."""
+    parts = [records.order_free_digest(table(spark, d, name)).select(F.lit(name).alias("tablo"), "*") for name in ("imported_decisions", "text_chunks")]
+    return parts[0].unionByName(parts[1])
