@@ -49,7 +49,19 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     up, down = _powers(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[width:] - total[:-width]) * down[: n - width + 1]
+    return _mixed((total[width:] - total[:-width]) * down[: n - width + 1])
+
+
+def suffix_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all suffixes, the empty one last."""
+    n = len(codes)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    return _mixed((total[n] - total) * down[: n + 1])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _MIX
     h ^= h >> np.uint64(32)

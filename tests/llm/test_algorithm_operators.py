@@ -150,6 +150,29 @@ def test_format_duplicates(spark):
     assert p07.copy_groups(x.limit(0), "id", "t", ["e", "k"]).count() == 0
 
 
-def test_digest_ignores_order_only():
-    a, b, n = p07._digests(["abc", "CBA.", "abd"])
-    assert (a[0], b[0], n[0]) == (a[1], b[1], n[1]) and a[0] != a[2]
+def test_leaves_and_roots():
+    flat, loose = p07._leaves(["abc", "CBA.", "abd", "a b\nc"], [("1/2",), ("12",), ("1/2",), ("1-2",)])
+    assert flat[0] == flat[3] != flat[1] and loose[0] == loose[1] != loose[2]
+    label = p07._label_pattern(["suç", "tarihi"])
+    one, two = (dict((r, e) for e, r in p07.roots(t, b"", label)) for t in ("SUÇ : x y\nTARİHİ : 1.2\nGövde metni", "tarihi 1 2 suç x y gövde metni"))
+    both = set(one) & set(two)
+    assert both and all(p07.structure("SUÇ : x y\nTARİHİ : 1.2\nGövde metni", one[r], label) == p07.structure("tarihi 1 2 suç x y gövde metni", two[r], label) for r in both)
+    assert not p07.roots("başlıksız", b"", label)
+
+
+def test_headers_have_no_limits(spark):
+    long = ["SUÇ : " + "uzun bir suç listesi ve " * 30, "MAHKEMESİ : Ankara 1. İş Mahkemesi", "TARİHİ : 01.02.2003"]
+    lead = "önce gelen bir söz " * 70
+    other = [f"HÂKİM : {'Bir'}", f"KÂTİP : {'İki'}", "SUÇ : Hakaret"]
+    rows = [
+        ("a", "\n".join([*long, BODY])),
+        ("b", "\n".join([long[1], long[2], long[0], BODY])),
+        ("c", lead + "\n" + "\n".join([*HEAD, BODY])),
+        ("d", " ".join([lead, *HEAD[::-1], BODY]).upper()),
+        ("e", "\n".join([*other, "", BODY])),
+        ("f", "\n".join([*other[::-1], BODY])),
+        *((f"x{i}", f"HÂKİM : {i}\nKÂTİP : {i}\n\n{i} ayrı metin") for i in range(40)),  # from which labels are learnt
+    ]
+    x = spark.createDataFrame(rows, "id string, t string")
+    got = p07.group_pairs(p07.copy_groups(x, "id", "t", [], block=1))
+    assert {tuple(r) for r in got.collect()} == {("a", "b"), ("c", "d"), ("e", "f")}
