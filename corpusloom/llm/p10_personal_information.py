@@ -1,15 +1,26 @@
 """Problem 10: personal information inside free text.
 
-One pass of a string automaton over each text finds anchors (given names,
-titles, street words, at signs); patterns are tried around anchors only.
+One pass of a string automaton over each text finds anchors (roles and titles,
+given names, street words, at signs); patterns are tried around anchors only.
 Numbers are found by one pattern that starts at digits.
 
+Names come by evidence, not from a list of all names.  Two to four capitalised
+words after a role or title, or before words such as ``adlı``, are a name where
+the case of the text around them says something, that is, where the text goes
+on in lower case or ends there.  From these places given names are learnt over
+the whole table (:func:`learn_names`): words that begin such names with at least
+two different followers.  A learnt or common given name makes a name anywhere,
+and so does the company of one: what stands in a row with a name by comma or
+``ve`` is a name as well.  A name learnt holds at least one of ``NAME_SHARE``
+such places, so there are at most NAME_SHARE.
+
 Method of replacement: format-preserving Feistel pseudonyms.  Phone and
 identity numbers that have a valid format are permuted under a key within that
 format, so that equal values stay linked across documents and no two values
-meet; the same permutation serves dates (:func:`permute_date`).  Names,
+meet; the same permutation serves dates, where it is asked for (``dates``).  Names,
 addresses and e-mail addresses, which have no fixed format, get a keyed token
 of their normalised form.  Every pseudonym stands in a typed placeholder.
+Tokens have 128 bits, so that no two values meet.
 
 Defined cases: a null text stays null and holds nothing; an empty text stays
 empty; masked values, initials, names inside companies, places or addresses,
@@ -32,22 +43,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import add_columns, arrow_map
-
-#: Common given names.
-GIVEN_NAMES = """
-Ahmet Ali Alper Arda Asena Aslı Ayhan Ayla Aylin Aynur Ayşe Ayten Aziz Bahar Barış Begüm Berk Berna Betül Bilge Bora Burak Burcu Bülent
-Cahit Can Cansu Cem Cemal Cemre Ceren Ceyda Cihan Çağatay Çağla Çiğdem Davut Defne Demet Deniz Derya Dilek Doğan Doruk Ebru Ece Ekin Elif
-Emel Emine Emre Engin Ercan Erdem Eren Erhan Erol Esra Fadime Faruk Fatih Fatma Fidan Figen Filiz Furkan Gamze Gizem Gökhan Gül Gülay Gülce
-Gülsüm Güven Hakan Hale Halil Hamza Handan Hande Harun Hasan Hatice Hülya Hüseyin Işıl İbrahim İlknur İpek İrem İsmail İsmet Kaan Kadir Kemal
-Kerem Koray Lâle Lale Levent Leyla Mehmet Melek Melike Meltem Meral Merve Mert Metin Mine Miraye Mualla Murat Mustafa Nalan Nazlı Necati Nehir
-Nermin Neslihan Nihal Nuray Nuri Okan Oğuz Onur Orhan Osman Ömer Özge Özlem Perihan Pınar Ramazan Recep Ruşen Salih Seda Selçuk Selim Selvan
-Serap Serdar Serkan Sevgi Sevim Sibel Sinan Songül Suat Şerife Şermin Şule Tamer Tarhun Taylan Tolga Tuna Turgut Tülay Uğur Umut Ümit Ümran
-Vedat Veli Volkan Yasemin Yasin Yavuz Yılmaz Yusuf Zehra Zeki Zeynep
-Anna Charles Charlotte Clara David Edward Elizabeth Emily Emma Evander Fergus George Hans Heinrich Isolde James John Julia Karl Klaus Lucan
-Margaret Maria Maribel Mary Michael Odette Orlan Oscar Paul Peter Petra Quentin Richard Robert Sarah Saskia Sophie Tamsin Thomas William Wilmot
+from corpusloom.storage import materialize
+
+#: Given names that are among the most common ones of their country; all others are learnt.
+COMMON_NAMES = """
+Mehmet Mustafa Ahmet Ali Hüseyin Hasan İbrahim İsmail Osman Yusuf Murat Ömer Ramazan Halil Süleyman Abdullah Mahmut Recep Salih Fatih Kadir Emre Hakan Adem
+Kemal Yaşar Bekir Musa Metin Orhan Fatma Ayşe Emine Hatice Zeynep Elif Meryem Şerife Zehra Sultan Hanife Merve Havva Zeliha Esra Özlem Hacer Yasemin Hülya Cemile
+James John Robert Michael William David Richard Thomas Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah
+Hans Peter Klaus Wolfgang Jürgen Michael Stefan Thomas Maria Ursula Monika Petra Sabine Renate Anna Julia
+""".split()
+#: Words after which two capitalised words are a person.
+ROLES = """
+Davacı Davacılar Davalı Davalılar Tanık Tanıklar Sanık Sanıklar Müşteki Müştekiler Mağdur Mağdure Katılan Şikâyetçi Şüpheli Şüpheliler Hükümlü Tutuklu Bilirkişi
+Kiracı Kiraya Alacaklı Borçlu Mirasçı Mirasçılar Mirasçıları Mirasbırakan Muris Vasi Kayyım Sürücü İşçi İşveren Müvekkil Müvekkilim Vekil Vekili Müdafi Müdafii
+Hâkim Hakim Savcı Cumhuriyet Kâtip Zabıt Avukat Av. Dr. Doç. Prof. Sayın Bay Bayan Temyiz Başkan Üye Noter Memur Doktor
+Mr. Mrs. Ms. Mr Mrs Ms Judge Justice Witness Claimant Defendant Plaintiff Applicant Appellant Respondent Counsel Heir Tenant Landlord Driver
+Herr Herrn Frau Zeuge Zeugin Kläger Klägerin Beklagte Beklagter Angeklagte Angeklagter Richter Richterin Rechtsanwalt Rechtsanwältin Antragsteller Antragstellerin Mieter Mieterin Vermieter
 """.split()
-#: Words before a person's name that make two capitalised words one.
-TITLES = "Sayın Av. Mr. Mrs. Ms. Dr. Herr Frau Zeugin Zeuge".split()
+#: Words that are capitalised after a role but name no person.
+NO_NAME = """
+mahkeme mahkemesi mahkemece idare idaresi kurum kurumu kurul kurulu bakanlık bakanlığı başkan başkanı başkanlık vekil vekili vekilinin vekilleri müdafi müdafii asil
+hâkim hakim hâkimi savcı savcısı savcılığı müdür müdürü şirket şirketi devlet hazine hazinesi belediye tarafın taraf tanık sanık davacı davalı müşteki katılan mağdur
+borçlu alacaklı bilirkişi raporu beyanı beyanları ifadesi dilekçesi kararı karar dava davası dosya dosyası sayılı kanun kanunu maddesi tarihli daire dairesi genel
+temyiz istinaf esas hüküm talep itiraz ile ise ve veya için olarak bu bir da de ki the of and for to der die das und von zu court tribunal office gericht amt ministry
+cumhuriyet asliye ağır ceza sulh icra aile iş tüketici kadastro ticaret fikrî sınaî haklar bölge adliye yargıtay danıştay
+""".split()
+#: What follows a person's name.
+_NAMED = r"(?:[  ]\((?:T\.?C\.?|TC|Ausweisnummer|identity)|[  ](?:adlı|isimli|adındaki|doğumlu)(?!\w))"
 #: Words that are no surname; after a name they make it part of a street, place or company.
 NO_SURNAME = """
 sokak sokağı sok sk cadde caddesi cad cd bulvar bulvarı blv mahalle mahallesi mah mh meydanı parkı köprüsü köyü mevkii apartmanı apt sitesi sit blok
@@ -68,7 +90,14 @@ _CAP, _LOW = "A-ZÇĞİÖŞÜÂÎÛÄ", "a-zçğıöşüâîûäß"
 _TOKEN = rf"(?:[{_CAP}][{_LOW}]+(?:-[{_CAP}][{_LOW}]+)?|[{_CAP}]{{2,}}(?:-[{_CAP}]+)?)(?![\w])"
 _NEXT = re.compile(rf"[  ]({_TOKEN})")
 _SURNAME_FIRST = re.compile(rf"(?<!\w)([{_CAP}]{{3,}}(?:-[{_CAP}]+)?), $")
-_TWO = re.compile(rf"[  ]({_TOKEN})[  ]({_TOKEN})")
+_AFTER_ROLE = re.compile(rf"(?: ?[:,])?(?:[  ]|\n)(?:\d{{1,2}} ?[-.)] ?)?(?=[{_CAP}])")
+_PERSON = re.compile(rf"({_TOKEN})(?:[  ]({_TOKEN}))(?:[  ]({_TOKEN}))?(?:[  ]({_TOKEN}))?")
+_REVERSED = re.compile(rf"([{_CAP}]{{3,}}(?:-[{_CAP}]+)?), ({_TOKEN})(?:[  ]({_TOKEN}))?")
+_GOES_ON = re.compile(rf"\s*(?:$|[{_LOW}(;/–-]|[’'][{_LOW}]|[.](?:\s|$)|[,:]\s*[\w(+“\"]|\n)")
+_ROW = re.compile(r",[  ]|[  ](?:ve|ile|and|und)[  ]")
+_NAMED_BEFORE = re.compile(rf"(?<![\w/.])({_TOKEN})[  ]({_TOKEN})(?:[  ]({_TOKEN}))?{_NAMED}")
+_STARTS = re.compile(r"(?:\A|[.!?\n])\s*\Z")
+NAME_SHARE, NAME_PLACES = 200_000, 2
 _SEP = r"[ .\-]?"
 _TEN = rf"{_SEP}\d{{3}}{_SEP}\d{{2}}{_SEP}\d{{2}}(?!\d|[-/]\d)"
 _NUMBER = re.compile(
@@ -105,19 +134,23 @@ def _lower(s: str) -> str:
     return s.translate(_LOWER).lower()
 
 
-def _automaton():
-    if not _STATE:
+def _state(names: tuple[str, ...] = ()) -> dict:
+    """The automaton for the given names of a table, built once in a process."""
+    if _STATE.get("names") is not names:
         import ahocorasick
 
-        a = ahocorasick.Automaton()
-        given = set()
-        for n in GIVEN_NAMES:
-            for form in (n, _upper(n), n.upper()):
+        a, given = ahocorasick.Automaton(), set()
+        for n in (*COMMON_NAMES, *names):
+            title = n if n in COMMON_NAMES else "-".join(_upper(p[:1]) + p[1:] for p in n.split("-"))
+            for form in (title, _upper(title), title.upper()):
                 given.add(form)
-                a.add_word(form, (NAME, len(form)))
-        for x in TITLES:
-            a.add_word(x + " ", ("title", len(x)))
-            a.add_word(_upper(x) + " ", ("title", len(x)))
+        for form in given:
+            a.add_word(form, (NAME, len(form)))
+        for x in ROLES:  # a role that is a given name as well stays a role
+            for form in {x, _upper(x), _lower(x)}:
+                a.add_word(form, ("role", len(form)))
+        for word in ("adlı", "isimli", "adındaki", "doğumlu", "(T.C", "(TC", "(Ausweis", "(identity"):
+            a.add_word(word, ("named", len(word)))
         for x in _STREET_ANCHORS:
             a.add_word(x, ("street", len(x)))
         for x in _ENGLISH_ANCHORS:
@@ -127,7 +160,7 @@ def _automaton():
         for x in ("assport", "asaport", "ASSPORT", "ASAPORT", "eisepas"):
             a.add_word(x, ("passport", len(x)))
         a.make_automaton()
-        _STATE.update(automaton=a, given=given, bad=frozenset(NO_SURNAME))
+        _STATE.update(names=names, automaton=a, given=given, bad=frozenset(NO_SURNAME), none=frozenset(NO_NAME) | {_lower(r) for r in ROLES})
     return _STATE
 
 
@@ -154,12 +187,59 @@ def _name_at(text: str, start: int, end: int, used: list[int]) -> tuple[int, int
     return (start, last) if tokens > 1 else None
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of each piece of personal information, in order of place."""
-    state = _automaton()
+def _is_word(token: str) -> bool:
+    """Whether a capitalised word is one that is no part of a name."""
+    low = _lower(token).rstrip(".")
+    return low in _STATE["bad"] or low in _STATE["none"]
+
+
+def _person_at(text: str, at: int) -> tuple[int, int, str, str] | None:
+    """(start, end, given name, what follows it) of the name that starts at a place where one is expected."""
+    m = _REVERSED.match(text, at)
+    if m and not any(_is_word(w) for w in m.groups() if w) and _GOES_ON.match(text, m.end()):
+        return m.start(), m.end(), m.group(2), m.group(1)
+    m = _PERSON.match(text, at)
+    if not m:
+        return None
+    words = [w for w in m.groups() if w]
+    after = _NEXT.match(text, m.end())
+    if any(_is_word(w) for w in words) or (after and (len(words) == 4 or _is_word(after.group(1)))) or not _GOES_ON.match(text, m.end()):
+        return None
+    return m.start(), m.end(), words[0], words[1]
+
+
+def _expected(text: str, roles: list[tuple[int, int]], named: bool) -> list[tuple[int, int, str, str]]:
+    """The names that their surroundings show, and those in a row with them."""
+    out: list[tuple[int, int, str, str]] = []
+    past = 0
+    for s, e in roles:
+        if e < past or (s and (text[s - 1].isalnum() or text[s - 1] in "_-@")):
+            continue
+        gap = _AFTER_ROLE.match(text, e)
+        if not gap or text[e - 1].isupper() and text[s:e].islower():
+            continue
+        person = _person_at(text, gap.end())
+        while person:
+            out.append(person)
+            past = person[1]
+            row = _ROW.match(text, past)
+            person = _person_at(text, row.end()) if row else None
+    if named:
+        for m in _NAMED_BEFORE.finditer(text):
+            at = [k for k in (1, 2, 3) if m.group(k)]
+            if len(at) == 3 and (m.group(1).isupper() and not m.group(2).isupper() or _STARTS.search(text[max(0, m.start() - 3) : m.start()]) and m.group(1) not in _STATE["given"]):
+                at = at[1:]  # the end of a place in capitals, or the word that begins the sentence
+            if not any(_is_word(m.group(k)) for k in at):
+                out.append((m.start(at[0]), m.end(at[-1]), m.group(at[0]), m.group(at[1])))
+    return out
+
+
+def find(text: str, given: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
+    """(start, end, type) of each piece of personal information, in order of place; ``given`` are the names learnt."""
+    state = _state(given)
     found: list[tuple[int, int, str]] = []
-    names, streets, titles = [], [], []
-    at = passport = foreign = False
+    names, streets, roles = [], [], []
+    at = passport = foreign = named = False
     for i, (kind, n) in state["automaton"].iter(text):
         if kind == NAME:
             s, e = i - n + 1, i + 1
@@ -167,8 +247,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 names.append((s, e))
         elif kind == "street":
             streets.append(i)
-        elif kind == "title":
-            titles.append((i - n, i))
+        elif kind == "role":
+            roles.append((i - n + 1, i + 1))
+        elif kind == "named":
+            named = True
         elif kind == "at":
             at = True
         elif kind == "passport":
@@ -201,7 +283,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             found.append((s, e, PHONE))
         elif not _OTHER_NUMBER.search(text[max(0, s - 40) : s]) and not _OTHER_AFTER.match(text, e):
             found.append((s, e, NATIONAL_ID))
-    if names or titles:
+    if names or roles or named:
         places = sorted((s, e) for s, e, _ in found)
         starts = [s for s, _ in places]
         used = [0]
@@ -218,14 +300,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 found.append((*span, NAME))
                 used[0] = span[1]
         taken = sorted((s, e) for s, e, k in found if k == NAME)
-        ends = [s for s, _ in taken]
-        for s, e in titles:
-            m = _TWO.match(text, e)
-            if m and (s == 0 or not text[s - 1].isalnum()) and not _is_bad(m.group(1)) and not _is_bad(m.group(2)):
-                after = _NEXT.match(text, m.end())
-                k = bisect_right(ends, m.end() - 1)
-                if not (after and _is_bad(after.group(1))) and free(m.start(1), m.end()) and not (k and taken[k - 1][1] > m.start(1)):
-                    found.append((m.start(1), m.end(), NAME))
+        begins = [s for s, _ in taken]
+        for s, e, _, _ in _expected(text, roles, named):
+            k = bisect_right(begins, e - 1)
+            # a name that begins before the given name that was known is taken as a whole
+            if free(s, e) and not (k and taken[k - 1][1] > s and (taken[k - 1][0] <= s or taken[k - 1][1] != e or (k > 1 and taken[k - 2][1] > s))):
+                found.append((s, e, NAME))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for x in found:
@@ -234,6 +314,37 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def learn_names(df: DataFrame, text_col: str) -> tuple[str, ...]:
+    """The given names of a table, in lower case: words that begin names where their surroundings show one.
+
+    A word must do so in ``NAME_PLACES`` places and in one of ``NAME_SHARE`` of
+    all, and with two followers; so at most NAME_SHARE words reach the driver.
+    """
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: dict[tuple[str, str], int] = {}
+        automaton = _state()["automaton"]
+        for t in batch.column(0).to_pylist():
+            roles, named = [], False
+            for i, (kind, n) in automaton.iter(t):
+                if kind == "role":
+                    roles.append((i - n + 1, i + 1))
+                elif kind == "named":
+                    named = True
+            for _, _, first, then in _expected(t, roles, named):
+                key = _lower(first), _lower(then)
+                counts[key] = counts.get(key, 0) + 1
+        first, then = zip(*counts) if counts else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(then, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["first", "then", "n"])
+
+    rows = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    places = arrow_map(rows, per_batch, "first string, then string, n long").groupBy("first").agg(F.sum("n").alias("n"), F.min("then").alias("a"), F.max("then").alias("b"))
+    places = materialize(places, "names")
+    total = places.agg(F.sum("n")).first()[0] or 0
+    common = places.where((F.col("n") >= max(NAME_PLACES, total / NAME_SHARE)) & (F.col("a") != F.col("b")))
+    return tuple(sorted(r["first"] for r in common.select("first").toLocalIterator()))
+
+
 def _round(key: bytes, i: int, half: str, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{i}|{n}|{half}".encode(), key=key, digest_size=16).digest(), "big")
 
@@ -286,38 +397,63 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
         plain = re.sub(r"\s", "", re.sub(r"\s?[(\[](?:at|et)[)\]]\s?", "@", re.sub(r"\s?[(\[](?:nokta|dot|punkt)[)\]]\s?", ".", plain)))
     else:
         plain = re.sub(r"[\W_]+", " ", plain)
-    token = hashlib.blake2b(f"{kind}|{plain}".encode("utf-8", "surrogatepass"), key=key, digest_size=5).hexdigest()
+    token = hashlib.blake2b(f"{kind}|{plain}".encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
     return f"[{kind.upper()}:{token}]"
 
 
-def replace(text: str, key: bytes) -> str:
-    """A text with its personal information replaced by placeholders, otherwise unchanged."""
+_DATE = re.compile(r"(?<![\w./-])(\d{1,2})([./-])(\d{1,2})\2(\d{4})(?![\w/-]|\.\d)")
+
+
+def _with_dates(text: str, key: bytes) -> str:
+    """A text whose days of the calendar are permuted, each in the format it is written in."""
+
+    def other(m: re.Match) -> str:
+        try:
+            day = permute_date(datetime.date(int(m.group(4)), int(m.group(3)), int(m.group(1))), key)
+        except ValueError:  # no day of the calendar
+            return m.group()
+        return f"{day.day:0{len(m.group(1))}d}{m.group(2)}{day.month:0{len(m.group(3))}d}{m.group(2)}{day.year:04d}"
+
+    return _DATE.sub(other, text)
+
+
+def pseudonyms(text: str, key: bytes, given: tuple[str, ...] = ()) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, placeholder) of each piece of personal information."""
+    return [(s, e, kind, pseudonym(kind, text[s:e], key)) for s, e, kind in find(text, given)]
+
+
+def replace(text: str, key: bytes, given: tuple[str, ...] = (), dates: bool = False) -> str:
+    """A text with its personal information replaced by placeholders, otherwise unchanged; with ``dates`` these are permuted as well."""
+    between = (lambda t: _with_dates(t, key)) if dates else (lambda t: t)
     out, at = [], 0
-    for s, e, kind in find(text):
-        out += [text[at:s], pseudonym(kind, text[s:e], key)]
+    for s, e, _, mark in pseudonyms(text, key, given):
+        out += [between(text[at:s]), mark]
         at = e
-    return "".join([*out, text[at:]])
+    return "".join([*out, between(text[at:])])
 
 
-def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pii_type, seq): a row for each occurrence, numbered by type in order of place."""
+def occurrences(df: DataFrame, id_col: str, text_col: str, key: bytes) -> DataFrame:
+    """(id, pii_type, seq, pseudonym): a row for each occurrence, numbered by type in order of place, with the placeholder that links equal values."""
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    given = df.sparkSession.sparkContext.broadcast(learn_names(rows, "text"))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, kinds, seqs = [], [], []
+        row, kinds, seqs, marks = [], [], [], []
         for i, t in enumerate(batch.column(1).to_pylist()):
             counts: dict[str, int] = {}
-            for _, _, k in find(t):
+            for _, _, k, mark in pseudonyms(t, key, given.value):
                 counts[k] = counts.get(k, 0) + 1
                 row.append(i)
                 kinds.append(k)
                 seqs.append(counts[k])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(kinds, pa.string()), pa.array(seqs, pa.int32())], names=["id", "pii_type", "seq"])
+                marks.append(mark)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(kinds, pa.string()), pa.array(seqs, pa.int32()), pa.array(marks, pa.string())], names=["id", "pii_type", "seq", "pseudonym"])
 
-    return arrow_map(rows, per_batch, T.StructType([T.StructField("id", kind), T.StructField("pii_type", T.StringType()), T.StructField("seq", T.IntegerType())]))
+    return arrow_map(rows, per_batch, T.StructType([T.StructField("id", kind), T.StructField("pii_type", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("pseudonym", T.StringType())]))
 
 
-def pseudonymised(df: DataFrame, text_col: str, key: bytes, out_col: str = "safe_text") -> DataFrame:
+def pseudonymised(df: DataFrame, text_col: str, key: bytes, out_col: str = "safe_text", dates: bool = False) -> DataFrame:
     """``df`` with the text column's personal information replaced in ``out_col``."""
-    return add_columns(df, text_col, [T.StructField(out_col, T.StringType())], lambda texts: [pa.array([None if t is None else replace(t, key) for t in texts], pa.string())])
+    given = df.sparkSession.sparkContext.broadcast(learn_names(df, text_col))
+    return add_columns(df, text_col, [T.StructField(out_col, T.StringType())], lambda texts: [pa.array([None if t is None else replace(t, key, given.value, dates) for t in texts], pa.string())])

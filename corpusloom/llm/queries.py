@@ -150,7 +150,7 @@ PII_KEY = b"corpusloom-example-key"
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = p10.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = p10.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text", PII_KEY)
     return rows.select(F.col("id").alias("doc_id"), "pii_type", "seq")
 
 
@@ -158,6 +158,11 @@ def p10_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PII_KEY).select("doc_id", "safe_text")
 
 
+def p10_replaced_with_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p10_replaced, with all dates permuted too, which problem 10 as stated leaves unchanged."""
+    return p10.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PII_KEY, dates=True).select("doc_id", "safe_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean_text": p1_clean_text,
@@ -177,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_budget_mix_report": p9_budget_mix_report,
     "p10_found": p10_found,
     "p10_replaced": p10_replaced,
+    "p10_replaced_with_dates": p10_replaced_with_dates,
     "p6_found": p6_found,
     "p6_hits": p6_hits,
     "p7_found": p7_found,

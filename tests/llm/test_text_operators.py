@@ -121,6 +121,9 @@ def test_truncation(spark):
     assert p03.truncated(x.limit(0), "id", "t").count() == 0
 
 
+GIVEN = ("sevgi", "tuna", "çağatay")
+
+
 def test_personal_information():
     text = (
         "Sayın Lâle ULUPINARCI, 0499-448-63-49 veya ayse.k+dosya(at)mail(nokta)kent(nokta)example. "
@@ -128,7 +131,7 @@ def test_personal_information():
         "Pasaport No: U 99756441. Gönderi takip numarası 49824682229, Ürün barkodu 1962853299358, Hesap no 1292-1292 ve fiş no 89055099316. "
         "Defne Tekstil Sanayi A.Ş., Selvan Köprüsü, Kardelen Caddesi boyunca, K. ile davalı S. Y., k***@*** ve @kararizleyen, 2011/12345 sayılı dosya."
     )
-    found = [(k, text[a:b]) for a, b, k in p10.find(text)]
+    found = [(k, text[a:b]) for a, b, k in p10.find(text, GIVEN)]
     assert found == [
         ("name", "Lâle ULUPINARCI"),
         ("phone", "0499-448-63-49"),
@@ -140,7 +143,7 @@ def test_personal_information():
         ("national_id", "U 99756441"),
     ]
     key = b"k"
-    safe = p10.replace(text, key)
+    safe = p10.replace(text, key, GIVEN)
     assert "ULUPINARCI" not in safe and "448-63-49" not in safe and safe.startswith("Sayın [NAME:") and "1962853299358" in safe
 
 
@@ -160,12 +163,54 @@ def test_feistel_is_a_permutation():
 
 def test_pii_columns(spark):
     x = spark.createDataFrame([(1, "a@b.example c@d.example"), (2, None), (3, ""), (1, "a@b.example c@d.example")], "doc_id long, text string")
-    assert sorted((r["id"], r["pii_type"], r["seq"]) for r in p10.occurrences(x, "doc_id", "text").collect()) == [(1, "email", 1), (1, "email", 1), (1, "email", 2), (1, "email", 2)]
-    assert p10.occurrences(x.selectExpr("doc_id", "text", "doc_id as id", "text as pii_type"), "doc_id", "text").count() == 4
+    assert sorted((r["id"], r["pii_type"], r["seq"]) for r in p10.occurrences(x, "doc_id", "text", b"k").collect()) == [(1, "email", 1), (1, "email", 1), (1, "email", 2), (1, "email", 2)]
+    assert p10.occurrences(x.selectExpr("doc_id", "text", "doc_id as id", "text as pii_type"), "doc_id", "text", b"k").count() == 4
     got = p10.pseudonymised(x.selectExpr("*", "'x' as safe_text"), "text", b"k").orderBy("doc_id").collect()
     assert got[0]["safe_text"].count("[EMAIL:") == 2 and got[2]["safe_text"] is None and got[3]["safe_text"] == ""
 
 
+def _unlisted(rng, n):
+    ends, out = ["an", "il", "ra", "em", "os", "ün"], set()
+    while len(out) < n:
+        name = "".join(rng.choice("bcdfgklmnprstvyz") + rng.choice("aeıioöuü") for _ in range(2)) + rng.choice(ends)
+        out.add(p10._upper(name[0]) + name[1:])
+    return sorted(out - set(p10.COMMON_NAMES))
+
+
+def test_names_on_no_list(spark):
+    rng = random.Random(10)
+    given, surnames = _unlisted(rng, 200), [x + "oğlu" for x in _unlisted(rng, 60)]
+    rows, truth = [], {}
+    shown = ["Davacı {} dava açmıştır.", "Tanık {} dinlendi.", "Sanık {}’nın beyanı alındı.", "VEKİLİ : Av. {}\nKonu", "Keşifte {} adlı kişi görüldü.", "The witness {} was heard.", "Die Zeugin {} wurde vernommen."]
+    bare = ["Bedel ödenmiştir. {} ise kabul etmemiştir.", "Belgeyi {} adına getirmişler.", "Hazır bulunanlar: {} ve başkaları."]
+    for i, g in enumerate(given):
+        for j, pattern in enumerate([*rng.sample(shown, 3), *bare]):
+            name = f"{g} {rng.choice(surnames)}"
+            rows.append((10 * i + j, pattern.format(name)))
+            truth[10 * i + j] = name
+    decoys = ["Davacı vekili duruşmaya gelmedi.", "Davalı İdare Vekili İse Temyiz Etmiştir Ve Karar Verilmiştir.", "Sayın Mahkeme Başkanlığına sunulur.", "Tanık Çınar Caddesi Başında Bekledi", "Davalı Akpınar Tekstil Sanayi Limited Şirketi cevap verdi.", "DAVALI İDARE VEKİLİ TEMYİZ ETMİŞTİR"]
+    rows += [(100000 + i, d) for i, d in enumerate(decoys)]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    names = p10.learn_names(x, "text")
+    hit = sum([t[a:b] for a, b, k in p10.find(t, names) if k == "name"] == [truth[i]] for i, t in rows if i in truth)
+    assert hit >= 0.9 * len(truth)
+    assert not [d for d in decoys if any(k == "name" for _, _, k in p10.find(d, names))]
+    once = sum(any(t[a:b] == truth[i] for a, b, k in p10.find(t)) for i, t in rows if i % 10 < 3 and i in truth)
+    assert once >= 0.9 * 600  # shown by their surroundings alone
+    for name in ("Abdullah Yıldız", "Süleyman Kaya", "Jennifer Miller"):
+        assert p10.find(f"{name} bunu söyledi.") == [(0, len(name), "name")]
+
+
+def test_dates_on_request():
+    key, text = b"k", "Karar 01.02.2003 gününde, 2003/12 sayılı dosyada, 31.02.2003 diye yazılmış; 1.2.2003 ve 01/02/2003 aynıdır."
+    assert p10.replace(text, key) == text
+    got = p10.replace(text, key, dates=True)
+    assert "01.02.2003" not in got and "2003/12" in got and "31.02.2003" in got
+    day = p10.permute_date(datetime.date(2003, 2, 1), key)
+    assert f"{day:%d.%m.%Y}" in got and f"{day:%d/%m/%Y}" in got
+    assert len(p10.pseudonym("name", "A B", key)) == len("[NAME:]") + 32
+
+
 def test_packing(spark):
     rng = random.Random(5)
     x = spark.createDataFrame([(i, " ".join(f"söz{rng.randint(0, 300)}" for _ in range(rng.randint(1, 120)))) for i in range(300)] + [(900, None), (901, ""), (None, "x")], "id long, t string")
