@@ -1,10 +1,11 @@
 """Problem 1: markup residue in text documents.
 
-Method: tag-path ratios.  The text nodes of a page are grouped by their path of
-block tags; for each path the text length and the punctuation are taken per
-node, both are smoothed along the page and fused, and a path below the threshold
-(a share of the standard deviation) is dropped as furniture, unless it
-holds a structure.  What stays is read again for Markdown, wiki and LaTeX
+Method: tag-path ratios.  The leaves of a page (stretches of text, list items,
+headings, tables, code) are grouped by their path of block tags from the root to
+the leaf; for each path the text length and the punctuation are taken per leaf,
+both are smoothed along the page and fused, and a path whose (lower) median is below the
+threshold (a share of the standard deviation) is dropped as furniture, with the
+structures in it.  What stays is read again for Markdown, wiki and LaTeX
 notation, whichever the page mixes, and comes out as clean text in which
 headings (``#``), lists (``-``, ``1.``), tables (``|``), code blocks (fences)
 and formulas (``$$`` or ``$``) are still marked.
@@ -64,25 +65,50 @@ _LIGHT = re.compile(r"(?<![\w*_\\])([*_])(?=[^\s*_])([^*_\n]{1,200}?)(?<=[^\s*_]
 _BLANKS = re.compile(r"[ \t\f\v\u00a0]+")
 _MARK = "\ue000{}\ue001"
 _MARKED = re.compile("\ue000(\\d+)\ue001")
+_LEAF = re.compile("(\ue000\\d+\ue001|\ue004[^\n]*|\n[ \\t\\r]*\n\\s*)")
+_ITEM_MARK = re.compile("^\ue004 *(?:-|\\d+\\.) ")
+_LEAF_TAGS = {HEADING: "h", TABLE: "table", CODE: "pre"}  # a formula belongs to the path it stands in
 
 
 class _Page:
-    """Text nodes of a page with their paths, and the blocks that were taken out of the text."""
+    """Leaves of a page in their order, each with its tag path, and the blocks that were taken out of the text."""
 
     def __init__(self):
-        self.nodes: list[tuple[tuple, str, bool]] = []  # path, text, whether it holds a structure
+        self.nodes: list[tuple[tuple, str]] = []  # path from the root, text
         self.blocks: list[str] = []
-        self.kinds: set[str] = set()
+        self.block_kinds: list[str] = []
+        self.kinds: set[str] = set()  # of structures in kept leaves
 
-    def block(self, kind: str, text: str) -> str:
-        self.kinds.add(kind)
+    def _mark(self, kind: str, text: str) -> str:
         self.blocks.append(text)
-        return "\n\n" + _MARK.format(len(self.blocks) - 1) + "\n\n"
+        self.block_kinds.append(kind)
+        return _MARK.format(len(self.blocks) - 1)
+
+    def block(self, kind: str, text: str) -> str:
+        return "\n\n" + self._mark(kind, text) + "\n\n"
 
     def inline(self, kind: str, text: str) -> str:
-        self.kinds.add(kind)
-        self.blocks.append(text)
-        return _MARK.format(len(self.blocks) - 1)
+        return self._mark(kind, text)
+
+    def add(self, path: tuple, text: str) -> None:
+        """The leaves of a stretch of text: list items and blocks end the path of the text around them."""
+        for piece in _LEAF.split(text):
+            if not piece:
+                continue
+            leaf = path
+            if piece[0] == "\ue004":
+                depth = (len(piece) - len(piece[1:].lstrip()) - 1) // 2
+                leaf = (*path, *("ul",) * (depth + 1), "li")
+            elif m := _MARKED.fullmatch(piece):
+                leaf = (*path, _LEAF_TAGS.get(self.block_kinds[int(m.group(1))], ())) if self.block_kinds[int(m.group(1))] in _LEAF_TAGS else path
+            self.nodes.append((leaf, piece))
+
+    def shown(self, piece: str) -> str:
+        """What a leaf holds, its blocks included; the mark of a list item is none of it."""
+        piece = _ITEM_MARK.sub("", piece)
+        while "\ue000" in piece:
+            piece = _MARKED.sub(lambda m: self.blocks[int(m.group(1))], piece)
+        return piece.strip()
 
 
 def _plain(text: str) -> str:
@@ -103,18 +129,14 @@ def _parse(source: str) -> _Page:
     buffer: list[str] = []
     hold: list[tuple[str, int]] = []  # open structures: tag, where their text starts in the buffer
     lists: list[list] = []
-    structured = False
 
     def flush() -> None:
-        nonlocal structured
         text = "".join(buffer)
         if text.strip():
-            page.nodes.append((tuple(path), text, structured))
+            page.add(tuple(path), ("\n\n" if page.nodes else "") + text.strip("\n"))
         buffer.clear()
-        structured = False
 
     def close(tag: str) -> None:
-        nonlocal structured
         while hold:
             name, start = hold.pop()
             inner = "".join(buffer[start:])
@@ -129,7 +151,6 @@ def _parse(source: str) -> _Page:
                 buffer.append(page.inline(FORMULA, "$" + _squeeze(inner) + "$") if inner.strip() else "")
             elif inner.strip():
                 buffer.append(page.block(HEADING, "#" * int(name[1]) + " " + _squeeze(inner)))
-            structured = True
             if name == tag:
                 break
 
@@ -171,8 +192,6 @@ def _parse(source: str) -> _Page:
                 lists.append([tag, 0])
         elif tag == "li":
             if not closing:
-                page.kinds.add(LIST)
-                structured = True
                 if lists:
                     lists[-1][1] += 1
                 mark = f"{lists[-1][1]}." if lists and lists[-1][0] == "ol" else "-"
@@ -208,20 +227,27 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel, mode="valid")
 
 
-def content_nodes(nodes: list[tuple[tuple, str, bool]]) -> list[bool]:
-    """Which text nodes belong to content, by the ratios of their tag paths."""
+def content_nodes(nodes: list[tuple[tuple, str]]) -> list[bool]:
+    """Which leaves belong to content, by the ratios of their tag paths; blank ones go with any."""
+    at = [i for i, (_, t) in enumerate(nodes) if t.strip()]
     paths: dict[tuple, list[int]] = {}
-    for i, (p, _, _) in enumerate(nodes):
-        paths.setdefault(p, []).append(i)
+    for k, i in enumerate(at):
+        paths.setdefault(nodes[i][0], []).append(k)
+    keep = [True] * len(nodes)
     if len(paths) < 2:
-        return [True] * len(nodes)
-    length, marks = np.zeros(len(nodes)), np.zeros(len(nodes))
-    for at in paths.values():
-        length[at] = sum(len(nodes[i][1].strip()) for i in at) / len(at)
-        marks[at] = sum(len(_PUNCTUATION.findall(nodes[i][1])) for i in at) / len(at)
+        return keep
+    size = np.array([len(nodes[i][1].strip()) for i in at], dtype=float)
+    points = np.array([len(_PUNCTUATION.findall(nodes[i][1])) for i in at], dtype=float)
+    length, marks = np.zeros(len(at)), np.zeros(len(at))
+    for ks in paths.values():
+        length[ks], marks[ks] = size[ks].mean(), points[ks].mean()
     fused = np.sqrt(_smooth(length) * (1 + _smooth(marks)))
     least = FURNITURE_SHARE * fused.std()
-    return [bool(f >= least or n[2]) for f, n in zip(fused, nodes)]
+    for ks in paths.values():
+        if np.sort(fused[ks])[(len(ks) - 1) // 2] < least:
+            for k in ks:
+                keep[at[k]] = False
+    return keep
 
 
 def _read_notation(page: _Page, text: str) -> str:
@@ -350,14 +376,18 @@ def convert(source: str) -> tuple[str, list[str]]:
     """(clean text, kinds of structure) of a page."""
     page = _parse(source)
     if not page.nodes:
-        return "", sorted(page.kinds)
-    kept = [n for n, ok in zip(page.nodes, content_nodes(page.nodes)) if ok]
-    text = _read_notation(page, "\n\n".join(n[1].strip("\n") for n in kept))
+        return "", []
+    kept = [t for (_, t), ok in zip(page.nodes, content_nodes([(p, page.shown(t)) for p, t in page.nodes])) if ok]
+    text = _read_notation(page, "".join(kept).strip("\n"))
+    if any(t[0] == "\ue004" for t in kept):
+        page.kinds.add(LIST)
     lines = [_BLANKS.sub(" ", x).rstrip() if "\ue004" in x else _BLANKS.sub(" ", x).strip() for x in text.replace("\r", "").split("\n")]
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).replace("\ue004", "")
     for _ in range(4):  # blocks may stand in blocks
         if "\ue000" not in text:
             break
+        for m in _MARKED.finditer(text):
+            page.kinds.add(page.block_kinds[int(m.group(1))])
         text = _MARKED.sub(lambda m: page.blocks[int(m.group(1))].strip("\n"), text)
     return text.strip(), sorted(page.kinds)
 

@@ -59,6 +59,16 @@ def test_furniture_goes():
     assert "Ana" not in text and text.count("Uzun") == 48
 
 
+def test_tag_paths_decide_about_structures(monkeypatch):
+    nav = "<nav><ul>" + "".join(f"<li><a href='#'>{x}</a></li>" for x in "Ana Arama Kararlar Daireler Yardım Üyelik".split()) + "</ul></nav>"
+    para = "<p>" + "Dosyadaki rapor, keşif tutanağı ve tanık anlatımları birlikte değerlendirildiğinde, hüküm kurulması doğru görülmemiştir. " * 2 + "</p>"
+    page = f"<body>{nav}<h2>GEREKÇE</h2>{para * 5}<table><tr><td>Gider</td><td>12,5 TL</td></tr></table>{para * 3}</body>"
+    text, kinds = p01.convert(page)
+    assert kinds == ["baslik", "tablo"] and "Arama" not in text and "## GEREKÇE" in text
+    monkeypatch.setattr(p01, "content_nodes", lambda nodes: [True] * len(nodes))
+    assert p01.convert(page)[1] == ["baslik", "liste", "tablo"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/&;ab h2uli=\"'\n#*-|$\\{}[]`~", max_size=200))
 def test_any_page_converts(source):
