@@ -6,9 +6,12 @@ how often it goes on.  The log-odds of an end, interpolated from short contexts
 to long ones and without the value's own end, are held against a threshold for
 each language and column, the emptiest place in the histogram of all values.
 
-Counts are kept for contexts that end some value only.  These contexts are
-known by a hash of ``BITS`` bits, so that the set that reaches the executors is
-bounded by 2**BITS bits for each order, however many texts there are.
+Counts are kept for contexts that end some value only, by their 64-bit hashes.
+Where a text goes on, a context is looked up in bit sets of 2**BITS bits for each
+order, built in the executors, so that what is broadcast is bounded however many
+texts there are.  A long context is looked up only where all shorter ones were
+found; what passes by chance meets no end in the join that follows, so the bit
+sets decide about work and never about counts.
 
 Defined cases: null and blank texts are not cut; punctuation, and so a mark of
 omission after the end, is set aside; exact copies count once in the model, in ends, continuations and the histogram; an empty input gives an
@@ -34,7 +37,7 @@ from corpusloom.storage import materialize
 ORDERS = (3, 6, 10, 15)
 BITS = 22
 SLOTS = 1 << 20  # of digests that repeat; bounds what is broadcast
-TAIL = 256
+TAIL = 256  # characters from the last letter or digit on; more than the longest order reaches
 #: A character reference, or its beginning, that a cut left at the end.
 _FRAGMENT = re.compile(r"&(?:#[xX]?[0-9A-Fa-f]{0,6}|[A-Za-z]{0,8});?$")
 _LOWEST, _HIGHEST, _BINS, _WINDOW = -14.0, 10.0, 480, 15
@@ -68,12 +71,12 @@ def _condense(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[keep], doc[keep]
 
 
-def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
-    return (window_hashes(codes, order) >> np.uint64(64 - BITS)).astype(np.int64)
+#: What may follow the end of a text without saying anything: white space, punctuation, controls and marks of format.
+_IDLE = "".join(chr(c) for c in (*range(0x3100), *range(0xFE00, 0xFF00), *range(0xFF01, 0xFF10)) if chr(c).isspace() or unicodedata.category(chr(c))[0] in "PCZ" and unicodedata.category(chr(c)) != "Cn" and chr(c) not in "&;#")
 
 
-def tail_contexts(tail: str) -> list[int] | None:
-    """The bucket of each order's context at the end of a text; null for blank texts, -1 for orders longer than the text.
+def tail_contexts(tail: str) -> list[int | None] | None:
+    """The hash of each order's context at the end of a text; null for blank texts and for orders longer than the text.
 
     Look-alike characters are set right first; punctuation at the end, with it
     marks of omission, and a broken character reference play no part.
@@ -84,26 +87,46 @@ def tail_contexts(tail: str) -> list[int] | None:
         codes = codes[:-1]
     if not len(codes):
         return None
-    return [int(_buckets(codes[-n:], n)[0]) if len(codes) >= n else -1 for n in ORDERS]
+    return [int(window_hashes(codes[-n:], n).view(np.int64)[0]) if len(codes) >= n else None for n in ORDERS]
 
 
 def _tails(df: DataFrame, id_col: str, text_col: str, group_cols: list[str]) -> DataFrame:
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group_cols)).alias("grp"), F.xxhash64(text_col).alias("tid"), F.right(text_col, F.lit(TAIL)).alias("tail"))
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group_cols)).alias("grp"), F.xxhash64(text_col).alias("tid"), F.right(F.rtrim(F.col(text_col), F.lit(_IDLE)), F.lit(TAIL)).alias("tail"))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [None if t is None else tail_contexts(t) for t in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["id", "grp", "tid", "contexts"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["id", "grp", "tid", "contexts"])
 
-    return arrow_map(rows.where(F.col("id").isNotNull()), per_batch, "id string, grp array<string>, tid long, contexts array<int>")
+    return arrow_map(rows.where(F.col("id").isNotNull()), per_batch, "id string, grp array<string>, tid long, contexts array<long>")
+
+
+def _wanted(ends: DataFrame) -> bytes:
+    """The bit sets of the contexts, 2**BITS bits for each order, put together in the executors."""
+    slot = (F.col("k").cast("long") * (1 << BITS) + F.shiftrightunsigned("context", 64 - BITS)) + 1
+    sets = ends.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(len(ORDERS) << (BITS - 3), dtype=np.uint8)
+    for r in sets.toLocalIterator():  # of fixed number and size
+        out[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.tobytes()
 
 
 def _continuations(df: DataFrame, text_col: str, wanted) -> DataFrame:
-    """(context, goes_on): how often the texts go on after each wanted context; context is order index * 2**BITS + bucket."""
+    """(k, context, goes_on): how often the texts go on after each context that the bit sets hold."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8)).view(bool).reshape(len(ORDERS), 1 << BITS)
-        counts = np.zeros((len(ORDERS), 1 << BITS), dtype=np.int32)
+        bits = np.frombuffer(wanted.value, dtype=np.uint8).reshape(len(ORDERS), -1)
         table = _table()
+        held: list[list[tuple]] = [[] for _ in ORDERS]
+
+        def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([x for x, _ in held[k]] or [np.empty(0, dtype=np.uint64)])
+            counts = np.concatenate([n for _, n in held[k]] or [np.empty(0, dtype=np.int64)])
+            unique, at = np.unique(keys, return_inverse=True)
+            return unique, np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
+
+        def rows(k: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["k", "context", "goes_on"])
+
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             for start, end in slices(texts):
@@ -113,19 +136,28 @@ def _continuations(df: DataFrame, text_col: str, wanted) -> DataFrame:
                 solid = np.nonzero(codes != 32)[0]
                 last = np.full(len(parts), -1)
                 last[doc[solid]] = solid  # the last of equal indices is kept
-                within = np.arange(len(codes)) < last[doc]  # its end does not go on
+                at = np.nonzero(np.arange(len(codes)) < last[doc])[0]  # the end of a text does not go on
                 for k, n in enumerate(ORDERS):
-                    b = _buckets(codes, n)
-                    if len(b):
-                        ok = bits[k][b] & within[n - 1 :] & (doc[n - 1 :] == doc[: len(b)])
-                        at, times = np.unique(b[ok], return_counts=True)
-                        counts[k][at] += times.astype(np.int32)
+                    at = at[at >= n - 1]
+                    at = at[doc[at] == doc[at - n + 1]]
+                    if not len(at):
+                        break
+                    h = window_hashes(codes, n)[at - n + 1]
+                    b = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                    ok = (bits[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
+                    at, h = at[ok], h[ok]
+                    held[k].append(np.unique(h, return_counts=True))
+            for k in range(len(ORDERS)):
+                if sum(len(x) for x, _ in held[k]) > 1 << 21:
+                    held[k] = [merged(k)]
+                    if len(held[k][0][0]) > 1 << 20:
+                        yield rows(k, *held[k][0])
+                        held[k] = []
         for k in range(len(ORDERS)):
-            some = np.nonzero(counts[k])[0]
-            yield pa.RecordBatch.from_arrays([pa.array((some + (k << BITS)).astype(np.int64)), pa.array(counts[k][some].astype(np.int64))], names=["context", "goes_on"])
+            yield rows(k, *merged(k))
 
-    parts = df.select(text_col).mapInArrow(run, "context long, goes_on long")
-    return parts.groupBy("context").agg(F.sum("goes_on").alias("goes_on"))
+    parts = df.select(text_col).mapInArrow(run, "k int, context long, goes_on long")
+    return parts.groupBy("k", "context").agg(F.sum("goes_on").alias("goes_on"))
 
 
 def _once(df: DataFrame, id_col: str, text_col: str, tails: DataFrame) -> DataFrame:
@@ -141,15 +173,12 @@ def _once(df: DataFrame, id_col: str, text_col: str, tails: DataFrame) -> DataFr
 def end_scores(df: DataFrame, id_col: str, text_col: str, group_cols: list[str]) -> DataFrame:
     """(id, tid, grp, log_odds) of every value: the digest of its text and the log-odds of an end after its final context."""
     tails = materialize(_tails(df, id_col, text_col, group_cols), "tails")
-    ends = tails.where("contexts is not null").dropDuplicates(["tid"]).select(F.posexplode("contexts").alias("k", "b")).where("b >= 0")
-    ends = materialize(ends.groupBy((F.col("k").cast("long") * (1 << BITS) + F.col("b")).alias("context")).agg(F.count("*").alias("ends")), "ends")
-    flat = np.zeros(len(ORDERS) << BITS, dtype=np.uint8)
-    flat[np.array([r[0] for r in ends.select("context").toLocalIterator()], dtype=np.int64)] = 1  # at most 2**BITS for each order
-    spark = df.sparkSession
-    wanted = spark.sparkContext.broadcast(np.packbits(flat).tobytes())
-    counts = ends.join(_continuations(_once(df, id_col, text_col, tails), "text", wanted), "context", "left").select("context", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
-    finals = tails.where("contexts is not null").select("tid", F.posexplode("contexts").alias("k", "b")).where("b >= 0").distinct()
-    seen = finals.withColumn("context", F.col("k").cast("long") * (1 << BITS) + F.col("b")).join(counts, "context")
+    finals = tails.where("contexts is not null").dropDuplicates(["tid"]).select("tid", F.posexplode("contexts").alias("k", "context")).where("context is not null")
+    finals = materialize(finals, "finals")
+    ends = materialize(finals.groupBy("k", "context").agg(F.count("*").alias("ends")), "ends")
+    wanted = df.sparkSession.sparkContext.broadcast(_wanted(ends))
+    counts = ends.join(_continuations(_once(df, id_col, text_col, tails), "text", wanted), ["k", "context"], "left").select("k", "context", "ends", F.coalesce("goes_on", F.lit(0)).alias("goes_on"))
+    seen = finals.join(counts, ["k", "context"])
     odds = seen.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("ends") - 1).alias("e"), "goes_on"))).alias("c"))  # at most one entry for each order
     p = F.aggregate("c", F.lit(1e-3), lambda p, x: (x["e"] + p * 4) / (x["e"] + x["goes_on"] + 4))
     odds = odds.withColumn("p", p).select("tid", F.log(F.col("p") / (1 - F.col("p") + 1e-9)).alias("log_odds"))

@@ -64,6 +64,19 @@ def p3_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03.source_shares(*_cut(spark, sf_dir), "id", "kaynak")
 
 
+def p3_column_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each column truncates in each language, every group with its own threshold."""
+    parts = [
+        table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("id"), F.col(column).alias("text"), dil.alias("dil"), F.lit(column).alias("alan"))
+        for name, key, column, dil in (("imported_decisions", "id", "karar_metni", F.lit("tr")), ("search_requests", "istek_id", "olay", F.lit("tr")), ("documents", "doc_id", "text", F.col("lang")))
+    ]
+    cut = p03.truncated(parts[0].unionByName(parts[1]).unionByName(parts[2]), "id", "text", ["dil", "alan"])
+    once = cut.groupBy("id", "grp").agg(F.max("cut").alias("cut"), F.max("threshold").alias("threshold"))
+    n = F.count_if("cut")
+    rows = once.groupBy("grp").agg(F.first("threshold").alias("threshold"), F.count("*").alias("records"), n.alias("cut_records"), (n / F.count("*")).alias("cut_share"))
+    return rows.select(F.col("grp")[0].alias("dil"), F.col("grp")[1].alias("alan"), "threshold", "records", "cut_records", "cut_share")
+
+
 def _oversized(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
     return p04.oversized(table(spark, sf_dir, name), "id", column)
 
@@ -171,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_unified": p2_unified,
     "p3_found": p3_found,
     "p3_source_shares": p3_source_shares,
+    "p3_column_shares": p3_column_shares,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

@@ -131,6 +131,29 @@ def test_truncation(spark):
     assert p03.truncated(x.limit(0), "id", "t").count() == 0
 
 
+def test_blanks_and_stars_after_the_end(spark):
+    rows = [(i, f"Dava {i} hakkında karar verildi.") for i in range(60)]
+    idle = [" " * 300, "* " * 150, "\u200b\n" * 200, "…" + "\u00a0" * 400]
+    rows += [(100 + i, f"Dosya {i} hakkında karar veri{x}") for i, x in enumerate(idle)] + [(200 + i, f"Dosya {i} hakkında karar verildi.{x}") for i, x in enumerate(idle)]
+    got = {r["id"]: r["log_odds"] for r in p03.truncated(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert len(got) == 68 and max(got[str(100 + i)] for i in range(4)) < min(got[str(200 + i)] for i in range(4))
+
+
+def test_end_sets_and_counts(spark):
+    """The counts behind the log-odds are those of a plain count over all positions."""
+    texts = ["bir iki üç karar verildi", "karar verildi ve sonra bir iki", "üç bir iki"]
+    x = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    tails = p03._tails(x, "id", "t", [])
+    ends = tails.select(F.posexplode("contexts").alias("k", "context")).where("context is not null").groupBy("k", "context").count()
+    counts = p03._continuations(x, "t", spark.sparkContext.broadcast(p03._wanted(ends))).where("k = 1").collect()
+    want = {}
+    for end in {t[-6:] for t in texts}:
+        n = sum(t[i : i + 6] == end and i + 6 < len(t) for t in texts for i in range(len(t)))
+        if n:
+            want[int(p03.window_hashes(p03.code_points(end), 6).view("int64")[0])] = n
+    assert {r["context"]: r["goes_on"] for r in counts} == want
+
+
 GIVEN = ("sevgi", "tuna", "çağatay")
 
 
