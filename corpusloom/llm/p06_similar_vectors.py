@@ -3,16 +3,23 @@
 Method: inverted multi-index.  Vectors are normalised and cut in two halves,
 each quantised by its own codebook; a vector's cell is the pair of its nearest
 centroids.  A query visits the cells with the least summed distance, found with
-a heap over pairs of ranked centroids.  With a least score, what it meets there
-is sifted on 8-bit components and reranked on the full vectors; without one the
-entries carry 16-bit components, on which they are ranked at once (scores are
-then off by less than 1e-4), as a rerank would move a vector for every hit.
+a heap over pairs of ranked centroids, and takes the best of each visit; the best
+over its visits are reranked.  With a least score entries carry 8-bit components
+and pairs are reranked on the full vectors; without one they carry 16-bit
+components, on which they are ranked at once (scores are then off by less than
+1e-4), as a rerank would move a vector for every hit.
 
 The codebooks are fitted on a sample of at most ``sample`` vectors (the least
-by a hash of the id); every vector is indexed and every vector is a query.  The
-size of a codebook grows with the collection, so that a query meets about as
-many vectors at any scale.  A cell with more than ``block`` vectors is split
-into blocks that its queries visit one by one.
+by a hash of the id); every vector is indexed and every vector is a query.
+A codebook has ``fineness * n ** growth`` centroids, 2,048 at most; what that
+leaves in a cell is met in full, so the bound costs time, not hits.
+
+A cell with more than ``block`` entries or 4 ``block`` visits is split into blocks
+of both, and every block of visits meets every block of entries: no task holds
+more than a block of each, and a visit returns its best ``k`` only, so a cluster
+of near-equal vectors gives no more rows than any other.  ``block`` grows where
+otherwise more than ``HOT_CELLS`` cells could be crowded; so many rows at most
+reach the driver.
 
 Defined cases: vectors that are null, of another length, not finite or all zero
 take no part, nor do null ids; rows with one id are one vector (the least if
@@ -36,13 +43,14 @@ from corpusloom.llm.common import arrow_map
 from corpusloom.storage import materialize
 
 _SCALES = {np.int8: 127.0, np.int16: 32767.0}
-_ROWS = 1024  # queries that are scored at once
+_SCORES = 1 << 23  # that are held at once
+HOT_CELLS = 200_000
 _LEFT_OUT = 0.02  # more than the 8-bit components can be off
 
 
-def codebook_size(n: int, fineness: float = 3.5) -> int:
+def codebook_size(n: int, fineness: float = 1.2, growth: float = 0.3) -> int:
     """Centroids for each half of ``n`` vectors."""
-    return int(min(2048, max(4, round(fineness * max(n, 1) ** 0.3))))
+    return int(min(2048, max(4, round(fineness * max(n, 1) ** growth))))
 
 
 def fit_codebook(sample: np.ndarray, size: int, rounds: int = 8) -> np.ndarray:
@@ -133,90 +141,102 @@ def _index(rows: DataFrame, dim: int, books: list[np.ndarray], probes: int, kind
     return arrow_map(rows, per_batch, "id string, key binary, code binary, cells array<long>")
 
 
-def _spread(entries: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """A row for each visit, (cell, block, home, key, code); the blocks of a crowded cell are visited one by one."""
+QUERY, ENTRY = 1, 2
+
+
+def _spread(entries: DataFrame, hot) -> DataFrame:
+    """A row for each visit, (cell, block, turn, role, key, code); ``hot`` has the crowded cells with their blocks of entries and of visits."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         cells = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         row = np.repeat(np.arange(n), cells.shape[1])
         home = np.tile(np.arange(cells.shape[1]) == 0, n)
-        cell, block = cells.ravel(), np.zeros(n * cells.shape[1], dtype=np.int64)
+        cell = cells.ravel()
         keep = cell >= 0
-        row, home, cell, block = row[keep], home[keep], cell[keep], block[keep]
-        if hot:
-            keys = _bytes(batch.column(0), 16)
-            own = keys[:, :4].copy().view(np.uint32).ravel()
-            blocks = np.array([hot.get(int(c), 1) for c in cell])
-            times = blocks  # an entry stands in one block and visits them all
-            row, home, cell, blocks = (np.repeat(a, times) for a in (row, home, cell, blocks))
-            block = np.concatenate([np.arange(t) for t in times]) if len(times) else block
-            home = home & (own[row] % blocks == block)
+        row, home, cell = row[keep], home[keep], cell[keep]
+        block = turn = np.zeros(len(cell), dtype=np.int32)
+        role = np.where(home, QUERY | ENTRY, QUERY).astype(np.int8)
+        names, blocks, turns = hot.value
+        if len(names):
+            at = np.minimum(np.searchsorted(names, cell), len(names) - 1)
+            crowded = names[at] == cell
+            own = _bytes(batch.column(0), 16)[:, :8].copy().view(np.uint32)
+            b, t = blocks[at[crowded]], turns[at[crowded]]
+            r, h, c = row[crowded], home[crowded], cell[crowded]
+            asks = np.repeat(np.arange(len(r)), b)  # a query meets all blocks of entries, in its own turn
+            ask_block = np.concatenate([np.arange(x) for x in b]) if len(b) else b
+            gives = np.repeat(np.nonzero(h)[0], t[h])  # an entry stands in one block, in all turns
+            give_turn = np.concatenate([np.arange(x) for x in t[h]]) if h.any() else t[:0]
+            row = np.concatenate([row[~crowded], r[asks], r[gives]])
+            cell = np.concatenate([cell[~crowded], c[asks], c[gives]])
+            block = np.concatenate([block[~crowded], ask_block, own[r[gives], 0] % b[gives]]).astype(np.int32)
+            turn = np.concatenate([turn[~crowded], own[r[asks], 1] % t[asks], give_turn]).astype(np.int32)
+            role = np.concatenate([role[~crowded], np.full(len(asks), QUERY), np.full(len(gives), ENTRY)]).astype(np.int8)
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), pa.array(home), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "home", "key", "code"])
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), pa.array(turn), pa.array(role), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "turn", "role", "key", "code"])
 
-    return arrow_map(entries.select("key", "code", "cells"), per_batch, "cell long, block long, home boolean, key binary, code binary")
+    return arrow_map(entries.select("key", "code", "cells"), per_batch, "cell long, block int, turn int, role byte, key binary, code binary")
 
 
 def _visits_in_order(batches, dim: int, kind):
-    """(keys, codes, home) of each block of a cell, from batches sorted by cell and block."""
+    """(keys, codes, roles) of each block and turn of a cell, from batches sorted by them."""
     held: list[tuple] = []
 
     def groups(last: bool):
         if not held:
             return
-        cell, home, keys, codes = (np.concatenate(x) for x in zip(*held))
+        cell, role, keys, codes = (np.concatenate(x) for x in zip(*held))
         cut = np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0] + 1
         bounds = [0, *cut.tolist(), len(cell)]
         stop = len(bounds) - 1 if last else len(bounds) - 2
         for s, e in zip(bounds[:stop], bounds[1 : stop + 1]):
-            if home[s:e].any():
-                yield keys[s:e], codes[s:e], home[s:e]
-        held[:] = [] if last else [tuple(x[bounds[stop] :] for x in (cell, home, keys, codes))]
+            if (role[s:e] & ENTRY).any():
+                yield keys[s:e], codes[s:e], role[s:e]
+        held[:] = [] if last else [tuple(x[bounds[stop] :] for x in (cell, role, keys, codes))]
 
     for batch in batches:
         if batch.num_rows:
-            where = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
-            held.append((where, batch.column(2).to_numpy(zero_copy_only=False), _bytes(batch.column(3), 16), _bytes(batch.column(4), dim * np.dtype(kind).itemsize).view(kind)))
+            where = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2)], axis=1)
+            held.append((where, batch.column(3).to_numpy(), _bytes(batch.column(4), 16), _bytes(batch.column(5), dim * np.dtype(kind).itemsize).view(kind)))
             yield from groups(False)
     yield from groups(True)
 
 
-def _meet(visits: DataFrame, dim: int, least: float) -> DataFrame:
-    """(a, b): what scores at least ``least`` on 8-bit components, within what these can be off."""
-
-    def run(batches):
-        for keys, codes, home in _visits_in_order(batches, dim, np.int8):
-            entries, names = codes[home].astype(np.float32), keys[home]
-            for s in range(0, len(codes), _ROWS):
-                near = codes[s : s + _ROWS].astype(np.float32) @ entries.T
-                row, col = np.nonzero(near >= (least - _LEFT_OUT) * _SCALES[np.int8] ** 2)
-                a, b = keys[s + row], names[col]
-                other = (a != b).any(axis=1)
-                yield pa.RecordBatch.from_arrays([_fixed(a[other]), _fixed(b[other])], names=["a", "b"])
-
-    return visits.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a binary, b binary")
+def _ragged(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of bytes of different lengths as a binary column."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def _meet_best(visits: DataFrame, dim: int, k: int) -> DataFrame:
-    """(a, b, score): the best ``k`` of each query over all its visits, on 16-bit components.
+def _meet(visits: DataFrame, dim: int, k: int, kind, least: float | None = None) -> DataFrame:
+    """(a, b, score): the best ``k`` of each query over all its visits, of those that score at least ``least``.
 
     A visit returns its best ``k`` in one packed row; the rows of a query, no
     more than its visits, are then merged.
     """
 
     def run(batches):
-        for keys, codes, home in _visits_in_order(batches, dim, np.int16):
-            entries, names = codes[home].astype(np.float32) / _SCALES[np.int16], keys[home]
-            many = min(k, len(names))
-            for s in range(0, len(codes), _ROWS):
-                own = keys[s : s + _ROWS]
-                near = (codes[s : s + _ROWS].astype(np.float32) / _SCALES[np.int16]) @ entries.T
-                same = np.nonzero(home[s : s + _ROWS])[0]
-                near[same, np.cumsum(home)[s + same] - 1] = -9  # a query is no hit of itself
+        scale = np.float32(1 / _SCALES[kind])
+        for keys, codes, role in _visits_in_order(batches, dim, kind):
+            gives, asks = np.nonzero(role & ENTRY)[0], np.nonzero(role & QUERY)[0]
+            entries, names = codes[gives].astype(np.float32) * scale, keys[gives]
+            order = np.argsort(short := names[:, :8].copy().view(np.uint64).ravel(), kind="stable")
+            many, rows = min(k, len(names)), max(64, _SCORES // len(names))
+            for s in range(0, len(asks), rows):
+                own = keys[asks[s : s + rows]]
+                near = (codes[asks[s : s + rows]].astype(np.float32) * scale) @ entries.T
+                mine = own[:, :8].copy().view(np.uint64).ravel()
+                at = order[np.minimum(np.searchsorted(short, mine, sorter=order), len(order) - 1)]
+                same = np.nonzero(short[at] == mine)[0]
+                near[same, at[same]] = -9  # a query is no hit of itself
                 col = np.argpartition(-near, many - 1, axis=1)[:, :many] if many < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
                 score = np.take_along_axis(near, col, 1).astype("<f4")
-                yield pa.RecordBatch.from_arrays([_fixed(own), _fixed(names[col].reshape(len(own), -1)), _fixed(score.view(np.uint8))], names=["a", "bs", "scores"])
+                good = score >= (-2 if least is None else least)
+                n = good.sum(axis=1)
+                some = n > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([_fixed(own[some]), _ragged(names[col[good]], 16 * n[some]), _ragged(score[good].view(np.uint8), 4 * n[some])], names=["a", "bs", "scores"])
 
     def merge(batches):
         held: list[tuple] = []
@@ -250,7 +270,7 @@ def _meet_best(visits: DataFrame, dim: int, k: int) -> DataFrame:
                 yield from best(False)
         yield from best(True)
 
-    packed = visits.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a binary, bs binary, scores binary")
+    packed = visits.repartition("cell", "block", "turn").sortWithinPartitions("cell", "block", "turn").mapInArrow(run, "a binary, bs binary, scores binary")
     return packed.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a binary, b binary, score double")
 
 
@@ -272,7 +292,7 @@ def _rerank(pairs: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "fa", "fb"), score, "a binary, b binary, score double")
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, min_score: float | None = None, probes: int = 6, sample: int = 20_000, block: int = 8192, fineness: float = 3.5) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 64, min_score: float | None = None, probes: int = 8, sample: int = 20_000, block: int = 32_768, fineness: float = 1.2, growth: float = 0.3) -> DataFrame:
     """(id, rank, neighbour, score): the ``k`` most similar other ids of each id by cosine; with ``min_score`` only hits that reach it."""
     if dim < 2 or k < 1 or probes < 1:
         raise ValueError("dim must be at least 2, k and probes at least 1")
@@ -283,19 +303,23 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: i
     points = np.concatenate([_vectors(c, dim)[1] for c in drawn.column(0).chunks] or [np.empty((0, dim), dtype=np.float32)])
     if not len(points):
         return df.sparkSession.createDataFrame([], "id string, rank int, neighbour string, score double")
-    size = codebook_size(n, fineness)
+    size = codebook_size(n, fineness, growth)
     half = dim // 2
     books = [fit_codebook(points[:, :half], size), fit_codebook(points[:, half:], size)]
     index = materialize(_index(rows, dim, books, probes, np.int16 if min_score is None else np.int8), "cells")
     names = index.select("key", "id").groupBy("id").agg(F.min("key").alias("key"))
     entries = index.select("key", "code", "cells").dropDuplicates(["key"])
-    # a crowded cell counts once: at most n / block of them
-    hot = {r["cell"]: -(-r["n"] // block) for r in index.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > block).toLocalIterator()}
+    block = max(block, -(-n * probes // HOT_CELLS))
+    counts = index.select(F.posexplode("cells").alias("at", "cell")).where("cell >= 0").groupBy("cell").agg(F.count_if(F.col("at") == 0).alias("homes"), F.count("*").alias("visits"))
+    crowded = counts.where((F.col("homes") > block) | (F.col("visits") > 4 * block)).orderBy("cell").toArrow()  # at most HOT_CELLS
+    cell, homes, visits = (crowded.column(c).to_numpy() for c in ("cell", "homes", "visits"))
+    hot = df.sparkSession.sparkContext.broadcast((cell, np.maximum(1, -(-homes // block)), np.maximum(1, -(-visits // (4 * block)))))
     visits = _spread(entries, hot)
     if min_score is None:
-        both = _meet_best(visits, dim, k)
+        both = _meet(visits, dim, k, np.int16)
     else:
-        pairs = _meet(visits, dim, min_score).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = _meet(visits, dim, 3 * k + 1, np.int8, min_score - _LEFT_OUT)  # more than k, as 8 bits may order them otherwise
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         exact = _rerank(materialize(pairs, "pairs"), rows, dim).where(F.col("score") >= min_score)
         both = exact.select("a", "b", "score").unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
         best = W.partitionBy("a").orderBy(F.desc("score"), "b")
