@@ -3,7 +3,11 @@
 Method: confusables skeleton.  A text is decomposed, every character is
 replaced by its prototype from a look-alike table, and decomposed again; texts
 with equal skeletons are one group.  The consistent form is the composed
-skeleton.  A letter of another script is replaced only in a word that mixes it
+skeleton.  The table is made from the character database: wide, narrow, font,
+circled and squared forms, ligatures and Roman numerals by their decompositions,
+small capitals, script and enclosed letters and the Latin-shaped letters of
+Lisu by their names; what names do not tell (Cyrillic, Greek, Armenian, Coptic,
+Cherokee, a few Latin variants) stands in the tables below.  A letter of another script is replaced only in a word that mixes it
 with Latin letters, or whose letters all look Latin; other words of that
 script are really written in it and stay.
 
@@ -33,15 +37,23 @@ ALIKE = dict(
     )
 )
 INSIDE = dict(zip("вкмнптгиь" + "αβγειηκμπρστυωχ" + "ЛПИ" + "ΔΛΣΩ", "bkmhntrub" + "abyeinkunpotuwx" + "LNN" + "ALEO"))
-_STYLES = ("<wide>", "<narrow>", "<font>", "<circle>")
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᏒᎩ", "ABCDEGHiJKLMPSTVWZRy"))
+COPTIC = dict(zip("ⲀⲂⲈⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲁⲟⲣⲥⲭⲩ", "ABEZHIKMNOPCTYXaopcxy"))
+#: Variants of Latin letters whose decompositions do not name the letter.
+VARIANTS = dict(zip("ɑɡɩɪʏꞬꬰꭓ", "agiiyGax"))
+_STYLES = ("<wide>", "<narrow>", "<font>", "<circle>", "<square>")
+_NAMED = re.compile(r"(?:LATIN LETTER SMALL CAPITAL|(?:NEGATIVE )?(?:CIRCLED|SQUARED) LATIN (CAPITAL) LETTER|LATIN SMALL LETTER SCRIPT) ([A-Z])")
+_LISU = {f"LISU LETTER {x}A": x for x in "BPDTGKJCZNLSRMVHFWXY"} | {f"LISU LETTER {x}": x for x in "AEIOU"}
+LISU = {c: _LISU[name] for c in map(chr, range(0xA4D0, 0xA500)) if (name := unicodedata.name(c, "")) in _LISU}
+ALIKE |= CHEROKEE | COPTIC | LISU
 #: Characters that may be out of place; all other texts are in the consistent form already.
-SUSPECT = "[\\u00A0\\u00AD\\u0300-\\u058F\\u061C\\u115F\\u1160\\u1680\\u17B4\\u17B5\\u180B-\\u180E\\u1AB0-\\u1AFF\\u1C80-\\u1C8F\\u1D00-\\u1DFF\\u1F00-\\u200F\\u2028-\\u202F\\u205F-\\u206F\\u20D0-\\u20FF\\u2100-\\u214F\\u2460-\\u24FF\\u2DE0-\\u2DFF\\u3000\\u3164\\uA640-\\uA69F\\uFB00-\\uFB06\\uFE00-\\uFE0F\\uFE20-\\uFE2F\\uFEFF\\uFF01-\\uFFEF"
+SUSPECT = "[\\u00A0\\u00AD\\u017F\\u0250-\\u02AF\\u0300-\\u058F\\u061C\\u115F\\u1160\\u13A0-\\u13FF\\u1680\\u17B4\\u17B5\\u180B-\\u180E\\u1AB0-\\u1AFF\\u1C80-\\u1C8F\\u1D00-\\u1DFF\\u1F00-\\u200F\\u2028-\\u202F\\u205F-\\u206F\\u20D0-\\u20FF\\u2100-\\u214F\\u2160-\\u217F\\u2460-\\u24FF\\u2C80-\\u2CFF\\u2DE0-\\u2DFF\\u3000\\u3164\\uA4D0-\\uA4FF\\uA640-\\uA69F\\uA7AC\\uAB30\\uAB53\\uFB00-\\uFB06\\uFE00-\\uFE0F\\uFE20-\\uFE2F\\uFEFF\\uFF01-\\uFFEF"
 SUSPECT_JAVA = SUSPECT + "\\x{1D400}-\\x{1D7FF}\\x{1F100}-\\x{1F1FF}\\x{E0000}-\\x{E0FFF}]"
 SUSPECT_PYTHON = SUSPECT + "\\U0001D400-\\U0001D7FF\\U0001F100-\\U0001F1FF\\U000E0000-\\U000E0FFF]"
 
 _suspect = re.compile(SUSPECT_PYTHON)
-_other = re.compile("[Ͱ-֏ᲀ-᲏ἀ-῿ⷠ-ⷿꙀ-ꚟ]")
-_word = re.compile(r"[^\W\d_]+")
+_other = re.compile("[Ͱ-֏Ꭰ-Ᏽᲀ-᲏ἀ-῿Ⲁ-⳿ⷠ-ⷿꓐ-꓿Ꙁ-ꚟ]")
+_word = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036F])*")
 _blank = {0x115F, 0x1160, 0x3164, 0x34F, 0x17B4, 0x17B5}
 _memo: dict[str, str] = {}
 
@@ -51,14 +63,17 @@ def _prototype(ch: str) -> str:
     if ch not in _memo:
         kind, c = unicodedata.category(ch), ord(ch)
         d = unicodedata.decomposition(ch).split()
+        named = _NAMED.fullmatch(unicodedata.name(ch, ""))
         if kind == "Zs":
             out = " "
         elif kind == "Cf" or c in _blank or 0xFE00 <= c <= 0xFE0F or 0x180B <= c <= 0x180D:
             out = ""
-        elif d and (d[0] in _STYLES or 0xFB00 <= c <= 0xFB06):
+        elif d and (d[0] in _STYLES or 0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F or c == 0x17F):
             out = "".join(chr(int(x, 16)) for x in d[1:])
+        elif named:
+            out = named.group(2) if named.group(1) else named.group(2).lower()
         else:
-            out = ch
+            out = VARIANTS.get(ch, ch)
         _memo[ch] = out
     return _memo[ch]
 
@@ -82,7 +97,7 @@ def _replace_word(m: re.Match) -> str:
 def skeleton(text: str) -> str:
     """The skeleton of a text: equal for texts that look equal."""
     if _suspect.search(text):
-        text = unicodedata.normalize("NFC", _suspect.sub(lambda m: _prototype(m.group()), text))
+        text = _suspect.sub(lambda m: _prototype(m.group()), unicodedata.normalize("NFD", text))
         if _other.search(text):
             text = _word.sub(_replace_word, text)
     return unicodedata.normalize("NFD", text)

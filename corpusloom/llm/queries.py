@@ -146,12 +146,33 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0].withColumn("doc_id", F.col("id").cast("long")).drop("id")
 
 
-def p9_budget_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mix as large as the corpus: the exponent gives way where small sources would repeat too often."""
+def _budget_mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     weights = table(spark, sf_dir, "source_weights")
     sizes = materialize(p09.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    return p09.share_report(p09.mixed(sizes, weights, budget=total), weights)
+    return p09.mixed(sizes, weights, budget=total // 4), weights
+
+
+def p9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of a quarter of the corpus: the exponent gives way where small sources would repeat too often."""
+    return _budget_mix(spark, sf_dir)[0].withColumn("doc_id", F.col("id").cast("long")).drop("id")
+
+
+def p9_budget_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09.share_report(*_budget_mix(spark, sf_dir))
+
+
+def p9_entropy_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powers of the sources' own shares with the entropy of the targets, as large as the corpus allows."""
+    weights = table(spark, sf_dir, "source_weights")
+    sizes = materialize(p09.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
+    wanted = p09.entropy({r["source"]: r["target_share"] or 0.0 for r in weights.toLocalIterator()})
+
+    def exponents(tokens: dict, limits: dict) -> tuple[dict, float]:
+        shares, _ = p09.temperature(tokens, limits, 0, wanted)
+        return shares, min((max(1, limits.get(s, 1)) * tokens[s] / w for s, w in shares.items()), default=0.0)
+
+    return p09.share_report(p09.mixed(sizes, weights, exponents=exponents), weights)
 
 
 def p9_share_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill_report": p8_fill_report,
     "p9_mix": p9_mix,
     "p9_share_report": p9_share_report,
+    "p9_budget_mix": p9_budget_mix,
     "p9_budget_mix_report": p9_budget_mix_report,
+    "p9_entropy_mix_report": p9_entropy_mix_report,
     "p10_found": p10_found,
     "p10_replaced": p10_replaced,
     "p10_replaced_with_dates": p10_replaced_with_dates,

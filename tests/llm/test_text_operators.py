@@ -293,3 +293,20 @@ def test_exponent():
     assert 0 < x < 1 and total * w["b"] <= 200 + 1e-6 and total * w["a"] <= 900 + 1e-6
     w, x, _ = p09.plan(tokens, target, limits, target_entropy=0.5)
     assert p09.entropy(w) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_more_scripts_and_variants():
+    for odd, plain in (("Ꭺnkara", "Ankara"), ("ɑnkara", "ankara"), ("ⲟrtak", "ortak"), ("ꓮnkara", "Ankara"), ("ſatış", "satış"), ("ᴋarar", "karar"), ("🅐nkara", "Ankara"), ("Ⅳ", "IV"), ("а\u0301", "á"), ("ᎪᏟ", "AC")):
+        assert p02.unify(odd) == plain and p02.skeleton(odd) == p02.skeleton(plain)
+    for real in ("ᏣᎳᎩ", "ⲙⲛⲧⲣⲙⲛⲕⲏⲙⲉ", "Москва", "Αθήνα", "ışık İzmir — “söz” § 5 €"):
+        assert p02.unify(real) == real
+
+
+def test_temperature_meets_entropy_and_limits():
+    tokens = {"a": 1000, "b": 100, "c": 10}
+    weights, a = p09.temperature(tokens, {}, 0, target_entropy=0.9)
+    assert 0 < a < 1 and abs(p09.entropy(weights) - 0.9) < 1e-6
+    assert all(abs(w - (t / 1110) ** a / sum((x / 1110) ** a for x in tokens.values())) < 1e-9 for w, t in zip(weights.values(), tokens.values()))
+    weights, a = p09.temperature(tokens, {"a": 1, "b": 2, "c": 4}, 1110)
+    assert 0 < a < 1 and all(1110 * w <= t * r * 1.0001 for w, t, r in zip(weights.values(), tokens.values(), (1, 2, 4)))
+    assert p09.temperature({}, {}, 5) == ({}, 1.0)
