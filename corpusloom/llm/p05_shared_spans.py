@@ -181,15 +181,23 @@ class FingerprintLog:
 
 
 def _common(a: np.ndarray, b: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, in each text, of the windows of min_chars that both hold, confirmed on the characters."""
+    """Starts, in each text, of the windows of min_chars that both hold, every one confirmed on the characters.
+
+    Windows that follow each other in both texts are one stretch: its first
+    characters are compared start by start, its last window as a whole.
+    """
     ha, hb = window_hashes(a, min_chars), window_hashes(b, min_chars)
     values, at_b = np.unique(hb, return_index=True)
-    place = np.searchsorted(values, ha)
-    place[place == len(values)] = 0
-    starts = np.nonzero(values[place] == ha)[0] if len(values) else np.empty(0, dtype=np.int64)
-    good = np.array([np.array_equal(a[s : s + min_chars], b[at_b[place[s]] : at_b[place[s]] + min_chars]) for s in starts[:1]], dtype=bool)
-    if len(starts) and not good.all():
-        starts = np.array([s for s in starts if np.array_equal(a[s : s + min_chars], b[at_b[place[s]] : at_b[place[s]] + min_chars])], dtype=np.int64)
+    if not len(ha) or not len(values):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    place = np.minimum(np.searchsorted(values, ha), len(values) - 1)
+    starts = np.nonzero(values[place] == ha)[0]
+    to = at_b[place[starts]]
+    ends = np.nonzero(np.append((np.diff(starts) != 1) | (np.diff(to) != 1), True))[0] if len(starts) else starts
+    right = bool((a[starts] == b[to]).all()) and all(np.array_equal(a[starts[e] : starts[e] + min_chars], b[to[e] : to[e] + min_chars]) for e in ends)
+    if not right:  # hashes that met by chance
+        good = [k for k, (x, y) in enumerate(zip(starts, to)) if np.array_equal(a[x : x + min_chars], b[y : y + min_chars])]
+        starts = starts[good]
     return starts, np.nonzero(np.isin(hb, ha[starts]))[0]
 
 
@@ -221,7 +229,7 @@ def verify(candidates: DataFrame, classes: DataFrame, min_chars: int) -> DataFra
     return arrow_map(pairs.select("tid_a", "tid_b", "text_a", "text_b"), per_batch, f"tid_a binary, tid_b binary, spans_a {s}, spans_b {s}")
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300, batches: int = 2, max_runs: int = 4) -> tuple[DataFrame, DataFrame]:
+def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300, batches: int = 3, max_runs: int = 1) -> tuple[DataFrame, DataFrame]:
     """Pairs of text classes that share a span, and the membership (record, tid) of the classes."""
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
