@@ -15,6 +15,39 @@ DISCLOSURES = ("veri kalitesi notu:", "veri kalitesi uyar", "2000 karakter", "2.
 CLOSING = "Somut olayın özelliklerine göre sonuç değişebilir; bu değerlendirme hukuki danışmanlık değildir."
 
 
+#: What warnings mean, what an unknown one means, and what stands for a missing number.
+WARNING_TEXTS = {"kaynak_metin_2000_karakter_sinirinda": "kaynak metin 2.000 karakter sınırında bitiyor ve kararın tamamını içermeyebilir"}
+OTHER_WARNING, MISSING, NO_WARNING = "kaynakta belirtilen ek bir veri kalitesi uyarısı bulunuyor", "Kaynakta yok", "Yok"
+
+
+def warning_text(warnings: Column) -> Column:
+    """The meaning of an array of warnings, in its order."""
+    known = F.create_map(*(F.lit(x) for pair in WARNING_TEXTS.items() for x in pair))
+    return F.array_join(F.transform(warnings, lambda w: F.coalesce(F.element_at(known, w), F.lit(OTHER_WARNING))), "; ")
+
+
+def source_block(label: Column, chamber: Column, case_no: Column, decision_no: Column, date: Column, title: Column, warnings: Column, text: Column) -> Column:
+    """A source as it stands in the prompt."""
+    said = warning_text(warnings)
+    lines = [
+        F.concat(F.lit("["), label, F.lit("]")),
+        F.concat(F.lit("Daire: "), chamber),
+        *(F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit(MISSING))) for name, value in (("Esas no", case_no), ("Karar no", decision_no), ("Karar tarihi", date))),
+        F.concat(F.lit("Başlık: "), title),
+        F.concat(F.lit("Veri kalitesi uyarıları: "), F.when(said == "", NO_WARNING).otherwise(said)),
+        F.lit("Karar parçası:"),
+        text,
+        F.concat(F.lit("[/"), label, F.lit("]")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def user_prompt(query: Column, context: Column) -> Column:
+    """The question and its sources; null where either is blank."""
+    text = F.concat_ws("\n", F.lit("KULLANICI OLAYI"), F.trim(query), F.lit(""), F.lit("KAYNAKLAR"), context, F.lit(""), F.lit("Yalnızca yukarıdaki kaynaklara dayanarak değerlendirme üret."))
+    return F.when((F.trim(query) != "") & (F.trim(context) != ""), text)
+
+
 def context_prefix(sources: DataFrame, query_col: str, rank_col: str, text: Column, most: int = CONTEXT_CHARS) -> DataFrame:
     """The sources of each query, in order of rank, as long as their lengths together stay within ``most``; with a label and the running length."""
     w = W.partitionBy(query_col).orderBy(rank_col).rowsBetween(W.unboundedPreceding, 0)

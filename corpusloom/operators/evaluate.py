@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.numbers import round_exact
+from corpusloom.storage import materialize
+
 
 def grid(spark: SparkSession, top_ks: list[int], thresholds: list[float]) -> DataFrame:
     """Every pair of the two short lists."""
@@ -19,11 +22,11 @@ def outcomes(cases: DataFrame, hits: DataFrame, settings: DataFrame) -> DataFram
     within top_k and its score, rounded to six places, reaches the threshold.
     """
     joined = cases.join(hits, "case_id", "left").crossJoin(F.broadcast(settings))  # a handful of settings
-    kept = (F.col("rank") <= F.col("top_k")) & (F.round("score", 6) >= F.col("threshold"))
+    kept = (F.col("rank") <= F.col("top_k")) & (round_exact(F.col("score")) >= F.col("threshold"))
     return joined.groupBy("case_id", "expected", "top_k", "threshold").agg(F.count(F.when(kept, 1)).alias("retained"), F.min(F.when(kept & (F.col("target") == F.col("expected")), F.col("rank"))).alias("first_match"))
 
 
-def metrics(results: DataFrame, reject_below: int = 1) -> DataFrame:
+def metrics(results: DataFrame, reject_below: int = 2) -> DataFrame:
     """Recall and mean reciprocal rank of the answerable cases, rejection and zero-result rates of the others, and balanced accuracy."""
     inside, outside = F.col("expected").isNotNull(), F.col("expected").isNull()
     m = results.groupBy("top_k", "threshold").agg(
@@ -41,10 +44,10 @@ def best(m: DataFrame) -> DataFrame:
     return m.orderBy(r("balanced").desc(), r("recall").desc(), r("rejection").desc(), r("mrr").desc(), F.col("top_k"), F.col("threshold").desc()).limit(1)
 
 
-def errors(cases: DataFrame, hits: DataFrame, top_k: int, threshold: float, reject_below: int = 1) -> DataFrame:
+def errors(cases: DataFrame, hits: DataFrame, top_k: int, threshold: float, reject_below: int = 2) -> DataFrame:
     """(case_id, outcome): hit, below_rank, below_threshold or not_in_pool; accepted or rejected where nothing is to be found."""
     match = F.col("target") == F.col("expected")
-    ok = F.round("score", 6) >= threshold
+    ok = round_exact(F.col("score")) >= threshold
     x = cases.join(hits, "case_id", "left").groupBy("case_id", "expected").agg(
         F.max((match & (F.col("rank") <= top_k) & ok).cast("int")).alias("hit"), F.min(F.when(match, F.col("rank"))).alias("first"), F.count(F.when((F.col("rank") <= top_k) & ok, 1)).alias("kept")
     )
@@ -62,17 +65,29 @@ def margins(cases: DataFrame, hits: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, value_col: str, fractions: dict[str, float]) -> DataFrame:
     """Least, greatest, mean and the values at ``round((n - 1) * f)``, halves to even, of a column.
 
-    Counts of distinct values are summed up, so that no array of all values is
-    built; an empty input gives zeros.
+    Counts of distinct values stand in ranges; the totals of the ranges tell in
+    which range a place lies, so that only there values are put in order.  An
+    empty input gives zeros.
     """
     from pyspark.sql import Window as W
 
     counts = df.where(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("v")).agg(F.count("*").alias("n"))
-    w = W.orderBy("v")
-    run = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(W.partitionBy(F.lit(1))))
-    picks = [F.coalesce(F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(f), 0), F.col("v"))), F.lit(0)).alias(name) for name, f in fractions.items()]
+    counts = materialize(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "counts")
+    totals = dict(counts.groupBy("part").agg(F.sum("n")).toLocalIterator())  # a row for each range
+    total, before, starts = sum(totals.values()), 0, []
+    for part in sorted(totals):
+        starts.append((part, before, before + totals[part]))
+        before += totals[part]
+    places = {name: round((total - 1) * f) for name, f in fractions.items()}
+    picks = [(name, part, at - lo) for name, at in places.items() for part, lo, hi in starts if lo <= at < hi]
+    wanted = counts.sparkSession.createDataFrame(picks, "name string, part int, at long")
+    upto = F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    run = counts.join(F.broadcast(wanted.select("part").distinct()), "part", "left_semi").withColumn("upto", upto)
+    found = run.join(F.broadcast(wanted), "part").where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+    picked = found.agg(*(F.coalesce(F.max(F.when(F.col("name") == name, F.col("v"))), F.lit(0)).alias(name) for name in fractions))
     mean = F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")), F.lit(0.0))
-    return run.agg(F.coalesce(F.min("v"), F.lit(0)).alias("min"), F.coalesce(F.max("v"), F.lit(0)).alias("max"), mean.alias("mean"), *picks)
+    ends = counts.agg(F.coalesce(F.min("v"), F.lit(0)).alias("min"), F.coalesce(F.max("v"), F.lit(0)).alias("max"), mean.alias("mean"))
+    return ends.crossJoin(picked)  # one row each
 
 
 def stratified_sample(df: DataFrame, id_col: str, band_col: str, kind_col: str, key, per_band: int) -> DataFrame:

@@ -11,56 +11,105 @@ from pyspark.sql import Window as W
 OVERFETCH, MOST = 5, 100
 
 
-def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int, dim: int, min_score: float | None = None, slice_rows: int = 65_536, query_block: int = 2048) -> DataFrame:
-    """(query_id, item_id, score): the exact ``k`` nearest items of each query by cosine.
-
-    Queries are a stated set.  They are cut into blocks of ``query_block`` and
-    each block meets every slice of about ``slice_rows`` items once, as a matrix
-    product; a slice returns its ``k`` best for each query, which are then
-    merged.  A group never holds more than one block and one slice.  Ties go to
-    the lesser id; invalid vectors take no part; a query is no hit of itself.
-    """
-    blocks = max(1, -(-items.count() // slice_rows))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(True).alias("is_query"))
-    n_blocks = max(1, -(-queries.count() // query_block))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = items.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(False).alias("is_query")).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    kind = queries.schema[id_col].dataType.simpleString()
-
-    def meet(key, group):
-        flags = group.column("is_query").to_numpy()
-        ids = group.column("id")
-        sizes = group.column("v").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        good = np.nonzero(sizes == dim)[0]
-        m = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in group.column("v").take(pa.array(good)).chunks] or [np.empty(0)]).reshape(-1, dim)
+#: Queries whose vectors are sent to the items; more of them are met in blocks.
+MOST_SENT = 20_000
+
+
+def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a valid vector, these vectors at length one)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.nonzero(sizes == dim)[0]
+    m = np.asarray(column.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dim)
+    with np.errstate(invalid="ignore", over="ignore"):
         norms = np.sqrt((m * m).sum(1))
-        fine = np.isfinite(norms) & (norms > 0)
-        good, m = good[fine], m[fine] / norms[fine, None]
-        isq = flags[good]
-        names = np.array(ids.take(pa.array(good)).to_pylist(), dtype=object)
-        out_q, out_i, out_s = [], [], []
-        items_, ni = m[~isq], names[~isq]
-        order = np.argsort(ni, kind="stable")
-        items_, ni = items_[order], ni[order]
-        wanted, asked = m[isq], names[isq]
-        for at in range(0, len(wanted), 128):
-            scores = np.round(wanted[at : at + 128] @ items_.T, 12)
-            many = scores.shape[1]
-            for s, name in zip(scores, asked[at : at + 128]):
-                if many > k + 1:  # everything that ties with the last place stays in the running
-                    near = np.nonzero(s >= np.partition(s, many - k - 1)[many - k - 1])[0]
-                else:
-                    near = np.arange(many)
-                near = near[np.argsort(-s[near], kind="stable")]
-                near = [i for i in near if ni[i] != name][:k]
-                out_q += [name] * len(near)
-                out_i += ni[near].tolist()
-                out_s += s[near].tolist()
-        t = group.schema.field("id").type
-        return pa.table({"query_id": pa.array(out_q, t), "item_id": pa.array(out_i, t), "score": pa.array(out_s, pa.float64())})
-
-    found = q.select("id", "v", "is_query", "block", "slice").unionByName(x.select("id", "v", "is_query", "block", "slice")).groupBy("block", "slice").applyInArrow(meet, f"query_id {kind}, item_id {kind}, score double")
+    fine = np.isfinite(norms) & (norms > 0)
+    return rows[fine], m[fine] / norms[fine, None]
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is among the ``k`` best of each row, all that ties with the last place included."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        return np.nonzero((scores >= least[:, None]) & (scores > -2))
+    return np.nonzero(scores > -2)
+
+
+def _met(asked, wanted: np.ndarray, names, items: np.ndarray, k: int):
+    """Rows (query, item, score) of the ``k`` best items of each query, a query itself and lesser ties left out."""
+    out_q, out_i, out_s = [], [], []
+    for at in range(0, len(wanted), 512):
+        scores = np.round(wanted[at : at + 512] @ items.T, 12)
+        scores[asked[at : at + 512, None] == names[None, :]] = -9
+        r, c = _best(scores, k)
+        order = np.lexsort((names[c], -scores[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out_q.append(asked[at + r[keep]])
+        out_i.append(names[c[keep]])
+        out_s.append(scores[r[keep], c[keep]])
+    return tuple(np.concatenate(x) for x in (out_q, out_i, out_s)) if out_q else (asked[:0], names[:0], np.empty(0))
+
+
+def _names(column) -> np.ndarray:
+    """Ids as an array that compares element by element."""
+    plain = column.to_pylist()
+    return np.array(plain, dtype=object if plain and isinstance(plain[0], str) else None)
+
+
+def knn(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int, dim: int, min_score: float | None = None, item_rows: int = 65_536, most_sent: int = MOST_SENT) -> DataFrame:
+    """(query_id, item_id, score, rank): the exact ``k`` nearest items of each query by cosine.
+
+    Queries are a stated set.  At most ``most_sent`` of them are sent to the items,
+    which stay where they are: every partition returns its ``k`` best for each
+    query, which are then merged.  More queries are met in blocks, each of which
+    reads the items again in place.  Ties go to the lesser id; invalid vectors
+    and null ids take no part; a query is no hit of itself.
+    """
+    spark = items.sparkSession
+    q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    x = items.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    kind, plain = queries.schema[id_col].dataType.simpleString(), pa.string() if queries.schema[id_col].dataType.simpleString() == "string" else pa.int64()
+    schema = f"query_id {kind}, item_id {kind}, score double"
+
+    def block(rows: pa.Table) -> DataFrame:
+        at, wanted = _unit(rows.column("v"), dim)
+        sent = spark.sparkContext.broadcast((_names(rows.column("id").take(pa.array(at))), wanted))
+
+        def run(batches):
+            asked, wanted = sent.value
+            held, size = [], 0
+
+            def flush():
+                names, vectors = np.concatenate([n for n, _ in held]), np.concatenate([v for _, v in held])
+                out = _met(asked, wanted, names, vectors, k)
+                return pa.RecordBatch.from_arrays([pa.array(out[0].tolist(), plain), pa.array(out[1].tolist(), plain), pa.array(out[2])], names=["query_id", "item_id", "score"])
+
+            for batch in batches:
+                good, v = _unit(batch.column(1), dim)
+                if len(good) and len(asked):
+                    held.append((_names(batch.column(0).take(pa.array(good))), v))
+                    size += len(good)
+                    if size >= item_rows:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+        return x.mapInArrow(run, schema)
+
+    first = q.limit(most_sent + 1).toArrow()  # bounded
+    if first.num_rows <= most_sent:
+        found = block(first)
+    else:
+        parts = -(-q.count() // (most_sent // 2))  # a block holds half as many on average
+        q = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        found = None
+        for p in range(parts):
+            some = block(q.where(F.col("part") == p).drop("part").toArrow())
+            found = some if found is None else found.unionByName(some)
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

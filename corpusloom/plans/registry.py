@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors as V
+from corpusloom.functions.numbers import round_exact
 from corpusloom.functions.providers import embedded
-from corpusloom.operators import answers, chunk, evaluate, records, search
+from corpusloom.operators import answers, chunk, cleaning, evaluate, importing, indexing, records, search
 from corpusloom.session import table
 from corpusloom.storage import fresh_path
 
@@ -216,9 +217,61 @@ def key_checks(spark, d):
     return a.crossJoin(b)  # one row each
 
 
+# ---- import
+
+
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize({{0}}), chr(146), '’'), '\\r\\n?', chr(10), 'g'), '^{X.WHITE}+', ''), '{X.WHITE}+$', '')"
+_NAME = _SQUEEZE.format("nfc_normalize({0})")
+_IMPORT = f"""WITH s AS (SELECT DISTINCT id, baslik, karar_metni, daire, coalesce(esas_no, '-') e, coalesce(karar_no, '-') k, coalesce(karar_tarihi, '-') t FROM imported_decisions),
+n AS (SELECT {_NAME.format('id')} id, {_NAME.format('baslik')} baslik, {_CHAMBER.format('nfc_normalize(daire)')} daire, {_PLAIN.replace('{0}', 'karar_metni')} metin, {_NAME.format('e')} e, {_NAME.format('k')} k, {_NAME.format('t')} t FROM s),
+v AS (SELECT *, list_filter([CASE WHEN NOT coalesce(id <> '' AND NOT regexp_matches(id, '[\\p{{Cc}}\\x{{FFFD}}]'), false) THEN 'id' END, CASE WHEN NOT coalesce(baslik <> '' AND NOT regexp_matches(baslik, '[\\p{{Cc}}\\x{{FFFD}}]'), false) THEN 'title' END,
+CASE WHEN NOT coalesce((regexp_matches(daire, '^[0-9]+\\. (?:Hukuk|Ceza) Dairesi$') OR daire IN ('Hukuk Genel Kurulu', 'Ceza Genel Kurulu') OR starts_with(daire, 'Yargıtay ')) AND NOT regexp_matches(daire, '[\\p{{Cc}}\\x{{FFFD}}]'), false) THEN 'chamber' END,
+CASE WHEN NOT coalesce(metin <> '' AND NOT regexp_matches(translate(metin, chr(10) || chr(9), ''), '[\\p{{Cc}}\\x{{FFFD}}]'), false) THEN 'text' END,
+CASE WHEN NOT (e = '-' OR regexp_matches(e, '^[0-9]{{4}}/[0-9]+$')) THEN 'case_no' END, CASE WHEN NOT (k = '-' OR regexp_matches(k, '^[0-9]{{4}}/[0-9]+$')) THEN 'decision_no' END,
+CASE WHEN NOT (t = '-' OR try_strptime(CASE WHEN regexp_matches(t, '^[0-9]{{1,2}}\\.[0-9]{{1,2}}\\.[0-9]{{4}}$') THEN t END, '%d.%m.%Y') IS NOT NULL) THEN 'date' END], lambda x: x IS NOT NULL) violated FROM n)"""
+
+
+def _imported(spark, d):
+    """The decisions as records of an outside source, in which a dash stands for what is missing."""
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    x = table(spark, d, "imported_decisions").select("id", "baslik", "karar_metni", "daire", dash("esas_no"), dash("karar_no"), dash("karar_tarihi")).distinct()
+    return importing.import_records(x, "açık derlem", "https://kaynak.example", "CC-BY-4.0", "id", "baslik", "karar_metni", "daire", "esas_no", "karar_no", "karar_tarihi")
+
+
+@query(_IMPORT + """ SELECT id, 'Yargıtay' AS mahkeme, daire, CASE WHEN lower(daire) LIKE '%kurul%' THEN 'kurul' WHEN lower(daire) LIKE '%ceza%' THEN 'ceza' WHEN lower(daire) LIKE '%hukuk%' THEN 'hukuk' ELSE 'diger' END AS karar_turu, nullif(e, '-') AS esas_no, nullif(k, '-') AS karar_no,
+nullif(t, '-') AS karar_tarihi, baslik, sha256(metin) AS text_sha256, length(metin) = 2000 AS metin_2000_karakter_sinirinda, 'açık derlem' AS kaynak, id AS kaynak_kayit_id FROM v WHERE len(violated) = 0""")
+def imported_projection(spark, d):
+    x = _imported(spark, d)[0].withColumn("text_sha256", F.sha2("karar_metni", 256))
+    return x.drop("karar_metni", "kaynak_url", "kaynak_lisans")
+
+
+@query(_IMPORT + " SELECT id, array_to_string(violated, ',') AS violated FROM v WHERE len(violated) > 0")
+def import_rejections(spark, d):
+    return _imported(spark, d)[1].withColumn("violated", F.array_join("violated", ","))
+
+
+@query(_IMPORT + """, g AS (SELECT *, CASE WHEN lower(daire) LIKE '%kurul%' THEN 'kurul' WHEN lower(daire) LIKE '%ceza%' THEN 'ceza' WHEN lower(daire) LIKE '%hukuk%' THEN 'hukuk' ELSE 'diger' END kind FROM v WHERE len(violated) = 0)
+SELECT 'records' AS measure, count(*) AS value FROM g UNION ALL SELECT 'unique_ids', count(DISTINCT id) FROM g UNION ALL SELECT 'at_limit', count_if(length(metin) = 2000) FROM g UNION ALL SELECT 'no_esas_no', count_if(e = '-') FROM g UNION ALL SELECT 'no_karar_no', count_if(k = '-') FROM g
+UNION ALL SELECT 'no_karar_tarihi', count_if(t = '-') FROM g UNION ALL SELECT 'kind_' || kind, count(*) FROM g GROUP BY kind UNION ALL SELECT 'rejected_' || r, count(*) FROM (SELECT unnest(violated) r FROM v) GROUP BY r""")
+def import_report(spark, d):
+    return importing.import_report(*_imported(spark, d))
+
+
 # ---- cleaning, identity, labels
 
 
+@query()
+def cleaned_records(spark, d):
+    """The whole cleaning of every decision: cleaned columns, labels, and the actions taken on its text."""
+    x = cleaning.clean_job(_decisions(spark, d).withColumn("metin_2000_karakter_sinirinda", F.coalesce("metin_2000_karakter_sinirinda", F.lit(False))))[0]
+    return x.drop("karar_metni").withColumns({"actions": F.array_join(_C("actions").cast("array<string>"), ","), "veri_kalite_uyarilari": F.array_join("veri_kalite_uyarilari", ",")})
+
+
+@query()
+def cleaning_report(spark, d):
+    return cleaning.clean_job(_decisions(spark, d).withColumn("metin_2000_karakter_sinirinda", F.coalesce("metin_2000_karakter_sinirinda", F.lit(False))))[3]
+
+
 _IDENTITY = f"""WITH r AS (SELECT *, {_NULLED.format('esas_no')} e, {_NULLED.format('karar_no')} k, {_CHAMBER.format('daire')} c FROM {_ONCE}),
 g AS (SELECT id, length(karar_metni) n, CASE WHEN e IS NULL OR k IS NULL OR c IS NULL OR c IN ('-', '') THEN 'id:' || id ELSE c || chr(31) || e || chr(31) || k END key, {_NULLED.format('karar_tarihi')} IS NOT NULL hd FROM r),
 w AS (SELECT id, n, row_number() OVER o rn, first_value(id) OVER o kept, first_value(n) OVER o kn FROM g WINDOW o AS (PARTITION BY key ORDER BY n DESC, hd DESC, id))"""
@@ -239,21 +292,22 @@ def duplicate_audit(spark, d):
     return records.duplicate_audit(_identity(spark, d), "id").withColumns(_long("dropped_text_length", "kept_text_length"))
 
 
-_LABELS = f"""WITH r AS (SELECT id, karar_metni, sha256(karar_metni) h, list_filter([CASE WHEN {_NULLED.format('esas_no')} IS NULL THEN 'eksik_esas_no' END, CASE WHEN {_NULLED.format('karar_no')} IS NULL THEN 'eksik_karar_no' END,
+_LABELS = _IDENTITY + f""", l AS (SELECT id, karar_metni, sha256(karar_metni) h, list_filter([CASE WHEN {_NULLED.format('esas_no')} IS NULL THEN 'eksik_esas_no' END, CASE WHEN {_NULLED.format('karar_no')} IS NULL THEN 'eksik_karar_no' END,
 CASE WHEN {_NULLED.format('karar_tarihi')} IS NULL THEN 'eksik_karar_tarihi' END, CASE WHEN metin_2000_karakter_sinirinda THEN 'kaynak_metin_2000_karakter_sinirinda' END,
-CASE WHEN count(*) OVER (PARTITION BY sha256(karar_metni)) > 1 THEN 'ayni_metin_farkli_kararlarda' END], lambda x: x IS NOT NULL) w, count(*) OVER (PARTITION BY sha256(karar_metni)) c FROM {_ONCE})"""
+CASE WHEN count(*) OVER (PARTITION BY sha256(karar_metni)) > 1 THEN 'ayni_metin_farkli_kararlarda' END], lambda x: x IS NOT NULL) w, count(*) OVER (PARTITION BY sha256(karar_metni)) c FROM {_ONCE} WHERE id IN (SELECT id FROM w WHERE rn = 1))"""
 
 
 def _labels(spark, d):
-    return records.quality_labels(_decisions(spark, d), "id", "karar_metni", "metin_2000_karakter_sinirinda", ["esas_no", "karar_no", "karar_tarihi"])
+    """Labels of the records that de-duplication keeps: equal texts are counted among them."""
+    return records.quality_labels(_identity(spark, d).where("identity_rank = 1"), "id", "karar_metni", "metin_2000_karakter_sinirinda", ["esas_no", "karar_no", "karar_tarihi"])
 
 
-@query(_LABELS + " SELECT id, h AS text_sha256, CAST(length(karar_metni) AS BIGINT) AS text_length, c AS same_text_count, array_to_string(w, ',') AS warnings, CASE WHEN len(w) > 0 THEN 'uyarili' ELSE 'gecerli' END AS status FROM r")
+@query(_LABELS + " SELECT id, h AS text_sha256, CAST(length(karar_metni) AS BIGINT) AS text_length, c AS same_text_count, array_to_string(w, ',') AS warnings, CASE WHEN len(w) > 0 THEN 'uyarili' ELSE 'gecerli' END AS status FROM l")
 def quality_labels(spark, d):
     return _labels(spark, d).withColumns({"text_length": _C("text_length").cast("long"), "warnings": F.array_join("warnings", ",")})
 
 
-@query(_LABELS + " SELECT x AS warning, count(*) AS records FROM (SELECT unnest(w) x FROM r) GROUP BY 1")
+@query(_LABELS + " SELECT x AS warning, count(*) AS records FROM (SELECT unnest(w) x FROM l) GROUP BY 1")
 def warning_counts(spark, d):
     return _labels(spark, d).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("records"))
 
@@ -268,9 +322,20 @@ def latest_scrape(spark, d):
 # ---- joins and sets
 
 
-@query("SELECT DISTINCT h.chunk_id FROM search_hits h ANTI JOIN chunk_vectors v ON h.chunk_id = v.chunk_id")
+_VALID = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+
+
+@query(f"SELECT DISTINCT h.chunk_id FROM search_hits h ANTI JOIN (SELECT chunk_id FROM chunk_vectors WHERE vector IS NOT NULL AND {_VALID}) v ON h.chunk_id = v.chunk_id")
 def hits_without_vector(spark, d):
-    return table(spark, d, "search_hits").select("chunk_id").distinct().join(table(spark, d, "chunk_vectors").select("chunk_id"), "chunk_id", "left_anti")
+    """Hits whose chunk has no vector that a search could have met."""
+    good = table(spark, d, "chunk_vectors").where(F.coalesce(V.is_valid(_C("vector"), 64), F.lit(False))).select("chunk_id")
+    return table(spark, d, "search_hits").select("chunk_id").distinct().join(good, "chunk_id", "left_anti")
+
+
+@query("SELECT DISTINCT istek_id FROM search_requests r ANTI JOIN search_hits h ON r.istek_id = h.istek_id AND h.score >= 0.6")
+def requests_without_good_hit(spark, d):
+    good = table(spark, d, "search_hits").where("score >= 0.6").select("istek_id")
+    return table(spark, d, "search_requests").select("istek_id").distinct().join(good, "istek_id", "left_anti")
 
 
 @query("SELECT id, CAST(length(karar_metni) AS BIGINT) AS n_chars FROM (SELECT DISTINCT id, karar_metni FROM imported_decisions) i SEMI JOIN search_hits h ON i.id = h.karar_id")
@@ -289,9 +354,9 @@ def chunked_and_hit(spark, d):
     return table(spark, d, "text_chunks").select("karar_id").intersect(table(spark, d, "search_hits").select("karar_id"))
 
 
-@query("SELECT id AS karar_id FROM imported_decisions EXCEPT SELECT karar_id FROM text_chunks")
-def decisions_without_chunks(spark, d):
-    return table(spark, d, "imported_decisions").select(_C("id").alias("karar_id")).subtract(table(spark, d, "text_chunks").select("karar_id"))
+@query("SELECT id AS karar_id FROM imported_decisions EXCEPT SELECT karar_id FROM text_chunks WHERE toplam_chunk > 1")
+def decisions_without_several_chunks(spark, d):
+    return table(spark, d, "imported_decisions").select(_C("id").alias("karar_id")).subtract(table(spark, d, "text_chunks").where("toplam_chunk > 1").select("karar_id"))
 
 
 @query(f"""SELECT c.daire, c.karar_turu, CAST(c.kurulus_yili AS BIGINT) AS founded, count(*) AS hits, round(avg(h.score), 6) AS mean_score FROM (SELECT {_CHAMBER.format('daire')} daire, score FROM search_hits) h JOIN chambers c ON h.daire = c.daire GROUP BY 1, 2, 3""")
@@ -311,7 +376,7 @@ _KNN = "list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: CA
 def _knn(spark, d, k, min_score=None, same_label=False):
     x = table(spark, d, "embeddings")
     hits = search.knn(x.where(_C("vec_id") % 100 == 0), x, "vec_id", "embedding", k, 64, min_score)
-    return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), _C("rank").cast("long").alias("rank"))
+    return hits.select("query_id", "item_id", round_exact(_C("score")).alias("score"), _C("rank").cast("long").alias("rank"))
 
 
 @query(f"""SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id query_id, x.vec_id item_id, {_KNN} score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_KNN}, 12) DESC, x.vec_id) rank
@@ -325,7 +390,7 @@ FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 AND x.vec_id <> q.vec_i
 def knn_filtered_threshold(spark, d):
     x = table(spark, d, "embeddings")
     hits = search.knn(x.where(_C("vec_id") % 100 == 0), x.where("label % 2 = 1"), "vec_id", "embedding", 5, 64, 0.1)
-    return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), _C("rank").cast("long").alias("rank"))
+    return hits.select("query_id", "item_id", round_exact(_C("score")).alias("score"), _C("rank").cast("long").alias("rank"))
 
 
 _HITS = "(SELECT DISTINCT istek_id, chunk_id, karar_id, daire, karar_turu, score FROM search_hits WHERE score IS NOT NULL)"
@@ -346,7 +411,7 @@ _REQUESTS = "(SELECT DISTINCT istek_id, top_k, min_score, filtre_daire, filtre_k
 
 @query(f"SELECT istek_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY istek_id ORDER BY score DESC, chunk_id) AS rank FROM {_HITS}")
 def ranked_hits(spark, d):
-    return search.ranked(_hits(spark, d), "istek_id", "score", "chunk_id").select("istek_id", "chunk_id", F.round("score", 6).alias("score"), _C("rank").cast("long").alias("rank"))
+    return search.ranked(_hits(spark, d), "istek_id", "score", "chunk_id").select("istek_id", "chunk_id", round_exact(_C("score")).alias("score"), _C("rank").cast("long").alias("rank"))
 
 
 _UNIQUE = f"""WITH h AS (SELECT s.*, r.top_k, row_number() OVER (PARTITION BY s.istek_id ORDER BY s.score DESC, s.chunk_id) rk FROM {_HITS} s JOIN {_REQUESTS} r ON s.istek_id = r.istek_id),
@@ -360,7 +425,7 @@ def _unique(spark, d):
 
 @query(_UNIQUE + " SELECT istek_id, karar_id, chunk_id, round(score, 6) AS score, rank FROM u")
 def search_unique_decisions(spark, d):
-    return _unique(spark, d).select("istek_id", "karar_id", "chunk_id", F.round("score", 6).alias("score"), _C("rank").cast("long").alias("rank"))
+    return _unique(spark, d).select("istek_id", "karar_id", "chunk_id", round_exact(_C("score")).alias("score"), _C("rank").cast("long").alias("rank"))
 
 
 @query(f"""SELECT s.istek_id, s.chunk_id, round(s.score, 6) AS score FROM {_HITS} s JOIN {_REQUESTS} r ON s.istek_id = r.istek_id
@@ -368,7 +433,7 @@ WHERE (r.filtre_daire IS NULL OR s.daire = r.filtre_daire) AND (r.filtre_karar_t
 def filtered_hits(spark, d):
     x = _hits(spark, d).join(_requests(spark, d), "istek_id")
     ok = (_C("filtre_daire").isNull() | (_C("daire") == _C("filtre_daire"))) & (_C("filtre_karar_turu").isNull() | (_C("karar_turu") == _C("filtre_karar_turu"))) & (_C("min_score").isNull() | (_C("score") >= _C("min_score")))
-    return x.where(ok).select("istek_id", "chunk_id", F.round("score", 6).alias("score"))
+    return x.where(ok).select("istek_id", "chunk_id", round_exact(_C("score")).alias("score"))
 
 
 @query(_UNIQUE + " SELECT istek_id, karar_id FROM u WHERE rank <= 10 UNION SELECT istek_id, any_value(karar_id) FROM (SELECT istek_id, karar_id FROM search_hits QUALIFY row_number() OVER (PARTITION BY istek_id ORDER BY sira, karar_id) = 1) GROUP BY istek_id")
@@ -402,6 +467,20 @@ def source_gate(spark, d):
     return answers.enough_sources(_sources(spark, d), "istek_id")
 
 
+_BLOCK = """'[' || label || ']' || chr(10) || 'Daire: ' || daire || chr(10) || 'Esas no: ' || coalesce(esas_no, 'Kaynakta yok') || chr(10) || 'Karar no: ' || coalesce(karar_no, 'Kaynakta yok') || chr(10) || 'Karar tarihi: ' || coalesce(karar_tarihi, 'Kaynakta yok') || chr(10) ||
+'Başlık: ' || baslik || chr(10) || 'Veri kalitesi uyarıları: ' || coalesce(nullif(array_to_string(list_transform(veri_kalite_uyarilari, lambda w: CASE WHEN w = 'kaynak_metin_2000_karakter_sinirinda' THEN 'kaynak metin 2.000 karakter sınırında bitiyor ve kararın tamamını içermeyebilir' ELSE 'kaynakta belirtilen ek bir veri kalitesi uyarısı bulunuyor' END), '; '), ''), 'Yok')
+|| chr(10) || 'Karar parçası:' || chr(10) || chunk_metni || chr(10) || '[/' || label || ']'"""
+
+
+@query(_CONTEXT + f", t AS (SELECT DISTINCT ON (id) id, daire, esas_no, karar_no, karar_tarihi, baslik, veri_kalite_uyarilari, chunk_metni FROM text_chunks ORDER BY id, chunk_metni) SELECT p.istek_id, p.label, {_BLOCK.replace('daire', 't.daire').replace('chunk_metni', 't.chunk_metni')} AS block FROM p JOIN t ON p.chunk_id = t.id")
+def prompt_sources(spark, d):
+    """The sources of each request as they stand in the prompt."""
+    kept = records.once(table(spark, d, "text_chunks"), "id", [_C("chunk_metni")]).select(_C("id").alias("chunk_id"), "daire", "esas_no", "karar_no", "karar_tarihi", "baslik", "veri_kalite_uyarilari", "chunk_metni")
+    x = _sources(spark, d).select("istek_id", "chunk_id", "label").join(kept, "chunk_id")
+    names = ("label", "daire", "esas_no", "karar_no", "karar_tarihi", "baslik", "veri_kalite_uyarilari", "chunk_metni")
+    return x.select("istek_id", "label", answers.source_block(*(_C(n) for n in names)).alias("block"))
+
+
 _ANSWER = "'Değerlendirme [' || string_agg(label, ', ' ORDER BY rank) || '] ve [K9]. ' || CASE WHEN istek_id % 3 = 0 THEN '' ELSE '" + answers.CLOSING + "' END"
 
 
@@ -433,7 +512,7 @@ _GRID = "(SELECT unnest([1, 3, 5, 10]) top_k) k, (SELECT unnest([0.5, 0.55, 0.6,
 _METRICS = f"""WITH o AS (SELECT c.case_id, c.expected, k.top_k, t.threshold, count(CASE WHEN h.rank <= k.top_k AND round(h.score, 6) >= t.threshold THEN 1 END) retained,
 min(CASE WHEN h.rank <= k.top_k AND round(h.score, 6) >= t.threshold AND h.target = c.expected THEN h.rank END) first_match FROM {_CASES} c LEFT JOIN {_POOL} h ON c.case_id = h.case_id, {_GRID} GROUP BY 1, 2, 3, 4),
 m AS (SELECT top_k, threshold, coalesce(avg(CASE WHEN expected IS NOT NULL THEN CASE WHEN first_match IS NOT NULL THEN 1 ELSE 0 END END), 0) recall, coalesce(avg(CASE WHEN expected IS NOT NULL THEN coalesce(1.0 / first_match, 0) END), 0) mrr,
-coalesce(avg(CASE WHEN expected IS NULL THEN CASE WHEN retained < 1 THEN 1 ELSE 0 END END), 0) rejection, coalesce(avg(CASE WHEN expected IS NULL THEN CASE WHEN retained = 0 THEN 1 ELSE 0 END END), 0) zero_result FROM o GROUP BY 1, 2)"""
+coalesce(avg(CASE WHEN expected IS NULL THEN CASE WHEN retained < 2 THEN 1 ELSE 0 END END), 0) rejection, coalesce(avg(CASE WHEN expected IS NULL THEN CASE WHEN retained = 0 THEN 1 ELSE 0 END END), 0) zero_result FROM o GROUP BY 1, 2)"""
 
 
 def _cases(spark, d):
@@ -461,7 +540,7 @@ def best_setting(spark, d):
 
 @query(f"""WITH x AS (SELECT c.case_id, c.expected, max(CASE WHEN h.target = c.expected AND h.rank <= 5 AND round(h.score, 6) >= 0.6 THEN 1 ELSE 0 END) hit, min(CASE WHEN h.target = c.expected THEN h.rank END) f,
 count(CASE WHEN h.rank <= 5 AND round(h.score, 6) >= 0.6 THEN 1 END) kept FROM {_CASES} c LEFT JOIN {_POOL} h ON c.case_id = h.case_id GROUP BY 1, 2)
-SELECT case_id, CASE WHEN expected IS NULL THEN CASE WHEN kept < 1 THEN 'rejected' ELSE 'accepted' END WHEN hit = 1 THEN 'hit' WHEN f IS NULL THEN 'not_in_pool' WHEN f > 5 THEN 'below_rank' ELSE 'below_threshold' END AS outcome FROM x""")
+SELECT case_id, CASE WHEN expected IS NULL THEN CASE WHEN kept < 2 THEN 'rejected' ELSE 'accepted' END WHEN hit = 1 THEN 'hit' WHEN f IS NULL THEN 'not_in_pool' WHEN f > 5 THEN 'below_rank' ELSE 'below_threshold' END AS outcome FROM x""")
 def retrieval_errors(spark, d):
     return evaluate.errors(*_cases(spark, d), 5, 0.6)
 
@@ -486,31 +565,38 @@ def stratified_sample(spark, d):
 # ---- chunks
 
 
-def _chunks(spark, d, size=1200, overlap=200, least=250):
-    return chunk.chunk_rows(_decisions(spark, d).select("id", "karar_metni"), "id", "karar_metni", size, overlap, least)
+_CARRIED = ("daire", "karar_turu", "esas_no", "karar_no", "karar_tarihi", "baslik", "kaynak")
 
 
 @query()
 def chunk_documents(spark, d):
-    return _chunks(spark, d)
+    """Every decision in chunks, each with the metadata of its decision."""
+    x = _decisions(spark, d).select("id", "karar_metni", *_CARRIED)
+    return chunk.chunk_rows(x, "id", "karar_metni", carry=_CARRIED)
+
 
+_BLANK = "[ \\t\\n\\r\\f\\v]"
 
-@query(f"SELECT id AS decision_id, CAST(0 AS BIGINT) AS uncovered_ink FROM {_ONCE} WHERE regexp_matches(karar_metni, '[^ \\t\\n\\r]')")
+
+@query(f"""SELECT id AS decision_id, CAST(length(regexp_replace(karar_metni, '{X.WHITE}', '', 'g')) AS BIGINT) AS ink, CAST(length(karar_metni) - length(regexp_replace(karar_metni, '^{X.WHITE}+', '')) AS BIGINT) AS first_char,
+CAST(length(regexp_replace(karar_metni, '{X.WHITE}+$', '')) AS BIGINT) AS last_char, sha256(regexp_replace(karar_metni, '{X.WHITE}', '', 'g')) AS ink_sha256, true AS sizes_hold FROM {_ONCE} WHERE regexp_matches(karar_metni, '[^{X.WHITE[1:]}')""")
 def chunk_coverage(spark, d):
-    x = _decisions(spark, d).select("id", "karar_metni")
-    return chunk.coverage(x, "id", "karar_metni", chunk.chunk_rows(x, "id", "karar_metni")).select("decision_id", "uncovered_ink")
+    """What the chunks of a decision hold, put together again without their overlaps: it must be the text, blanks aside."""
+    c = chunk.chunk_rows(_decisions(spark, d).select("id", "karar_metni"), "id", "karar_metni")
+    fresh = F.regexp_replace(F.expr("substr(chunk_text, overlap_chars + 1)"), X.WHITE, "")
+    parts = c.groupBy("decision_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", fresh.alias("ink")))).alias("p"), F.min("start_char").alias("a"), F.max("end_char").alias("b"), F.max("n_chars").alias("n"), F.max("overlap_chars").alias("o"))
+    ink = F.array_join(F.transform("p", lambda x: x["ink"]), "")  # the chunks of one text
+    return parts.select("decision_id", F.length(ink).cast("long").alias("ink"), _C("a").cast("long").alias("first_char"), _C("b").cast("long").alias("last_char"), F.sha2(ink, 256).alias("ink_sha256"), ((_C("n") <= 1200) & (_C("o") <= 600)).alias("sizes_hold"))
+
+
+#: The settings that are compared.
+_CONFIGURATIONS = [(size, overlap, 250) for size in (800, 1200, 1600) for overlap in (100, 200, 300)]
 
 
 @query()
 def chunk_configurations(spark, d):
-    """Chunk counts, mean length, share of natural boundaries and of repeated characters for four settings."""
-    x = _decisions(spark, d).select("id", "karar_metni")
-    out = None
-    for size, overlap in ((800, 100), (800, 200), (1200, 200), (1600, 200)):
-        c = chunk.chunk_rows(x, "id", "karar_metni", size, overlap)
-        one = c.agg(F.lit(f"{size}_{overlap}").alias("configuration"), F.count("*").alias("chunks"), F.avg("n_chars").alias("mean_chars"), F.avg(_C("end_boundary").isin("paragraph", "sentence").cast("int")).alias("natural_boundaries"), (F.sum("overlap_chars") / F.sum("n_chars")).alias("repeated"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Chunk counts, mean length, share of natural boundaries and of repeated characters for nine settings, in one pass."""
+    return chunk.compare_configurations(_decisions(spark, d).select("id", "karar_metni"), "karar_metni", _CONFIGURATIONS)
 
 
 @query()
@@ -522,34 +608,87 @@ def chunk_embeddings(spark, d):
 # ---- index and streams
 
 
-_LATEST = "(SELECT point_id, chunk_id, daire, indekslenme_zamani FROM chunk_vectors QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY indekslenme_zamani DESC) = 1)"
+_POINTS = f"(SELECT DISTINCT ON (point_id) point_id, chunk_id, daire, vector FROM chunk_vectors WHERE vector IS NOT NULL AND {_VALID} ORDER BY point_id, indekslenme_zamani DESC)"
 
 
-@query(f"SELECT point_id, chunk_id, daire FROM {_LATEST}")
-def index_upsert(spark, d):
+def _points(spark, d):
+    x = table(spark, d, "chunk_vectors").where(F.coalesce(V.is_valid(_C("vector"), 64), F.lit(False)))
+    return x.select("point_id", "chunk_id", "daire", "vector", "indekslenme_zamani")
+
+
+def _index(spark):
     from corpusloom.operators.index import VectorIndex
 
-    x = table(spark, d, "chunk_vectors").select("point_id", "chunk_id", "daire", "indekslenme_zamani")
-    index = VectorIndex(spark, fresh_path(spark, "index"), dim=64, distance="cosine", schema_version="1.0")
+    index = VectorIndex(spark, fresh_path(spark, "index"), vector_col="vector", dim=64, distance="cosine", schema_version="1.0")
     index.ensure()
-    early = F.pmod(F.xxhash64("point_id"), F.lit(2)) == 0
-    index.upsert(x.where(early), "indekslenme_zamani")
-    index.upsert(x, "indekslenme_zamani")  # half of the points are replaced by themselves
-    return index.current().select("point_id", "chunk_id", "daire")
+    return index
 
 
-@query("SELECT DISTINCT point_id, chunk_id FROM chunk_vectors WHERE daire NOT LIKE '9. %' OR daire IS NULL")
-def index_delete(spark, d):
-    from corpusloom.operators.index import VectorIndex
+@query(f"SELECT point_id, chunk_id, CASE WHEN daire LIKE '9. %' THEN 'yeni' ELSE daire END AS daire, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 4) AS vector_sum FROM {_POINTS}")
+def index_upsert(spark, d):
+    """All points with their vectors, then new values for those of one chamber, which replace the old ones."""
+    x, index = _points(spark, d), _index(spark)
+    index.upsert(x, "indekslenme_zamani")
+    index.upsert(x.where(_C("daire").startswith("9. ")).withColumn("daire", F.lit("yeni")), "indekslenme_zamani")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, e: a + e.cast("double"))
+    return index.current().select("point_id", "chunk_id", "daire", F.round(total, 4).alias("vector_sum"))
 
-    x = table(spark, d, "chunk_vectors").select("point_id", "chunk_id", "daire", "indekslenme_zamani")
-    index = VectorIndex(spark, fresh_path(spark, "index"), dim=64)
-    index.ensure()
+
+@query(f"SELECT point_id, chunk_id FROM {_POINTS} WHERE daire NOT LIKE '9. %' OR daire IS NULL")
+def index_delete(spark, d):
+    x, index = _points(spark, d), _index(spark)
     index.upsert(x, "indekslenme_zamani")
-    index.delete(x.where(_C("daire").startswith("9. ")).select("point_id").distinct())
+    index.delete(x.where(_C("daire").startswith("9. ")).select("point_id"))
     return index.current().select("point_id", "chunk_id")
 
 
+_CHUNKS = """(SELECT DISTINCT ON (id) * FROM text_chunks ORDER BY id, chunk_metni)"""
+_RULES = """list_filter([CASE WHEN NOT coalesce(trim(id) <> '', false) THEN 'id' END, CASE WHEN NOT coalesce(trim(chunk_metni) <> '', false) THEN 'chunk_metni' END, CASE WHEN NOT coalesce(sha256(chunk_metni) = chunk_metni_sha256, false) THEN 'digest' END,
+CASE WHEN NOT coalesce(length(chunk_metni) = karakter_sayisi, false) THEN 'length' END, CASE WHEN NOT coalesce(chunk_sirasi >= 1, false) THEN 'chunk_sirasi' END, CASE WHEN NOT coalesce(toplam_chunk >= chunk_sirasi, false) THEN 'toplam_chunk' END,
+CASE WHEN NOT coalesce(trim(daire) <> '', false) THEN 'daire' END, CASE WHEN veri_kalite_uyarilari IS NULL THEN 'veri_kalite_uyarilari' END], lambda x: x IS NOT NULL)"""
+
+
+def _chunk_rows(spark, d):
+    """Each chunk once; rows written twice are equal."""
+    return records.once(table(spark, d, "text_chunks"), "id", [_C("chunk_metni")])
+
+
+@query(f"SELECT id AS chunk_id, karar_id, CAST(chunk_sirasi AS BIGINT) AS chunk_sirasi, chunk_metni_sha256, array_to_string(veri_kalite_uyarilari, ',') AS veri_kalite_uyarilari, 64 AS embedding_dimension FROM {_CHUNKS} WHERE len({_RULES}) = 0")
+def index_payloads(spark, d):
+    """The checked projection that is indexed."""
+    points, _ = indexing.payloads(_chunk_rows(spark, d), "hashing", 64)
+    return points.select("chunk_id", "karar_id", _C("chunk_sirasi").cast("long").alias("chunk_sirasi"), "chunk_metni_sha256", F.array_join("veri_kalite_uyarilari", ",").alias("veri_kalite_uyarilari"), "embedding_dimension")
+
+
+@query(f"SELECT id AS chunk_id, karar_id, daire FROM {_CHUNKS} WHERE len({_RULES}) = 0")
+def index_resume(spark, d):
+    """A resumable run over the chunks that fails in its second batch, and a second run that goes on from there."""
+    from corpusloom.operators.index import VectorIndex
+
+    source, chunks = fresh_path(spark, "chunks"), _chunk_rows(spark, d)
+    _, rejected = indexing.payloads(chunks, "hashing", 64)
+    chunks.join(rejected.select("id"), "id", "left_anti").select(*chunks.columns).repartition(4, "id").write.parquet(source)
+    index = VectorIndex(spark, fresh_path(spark, "index"), vector_col="vector", dim=64, model="hashing")
+    job = indexing.ResumableIndexing(spark, fresh_path(spark, "indexing"), index, "hashing", 64, files_per_batch=2, attempts=2)
+
+    def fail_once(batch: int) -> None:
+        if batch == 1 and job.state()["failed_attempts"] < 2:
+            raise ConnectionError("the store is away")
+
+    try:
+        job.run(source, chunks.schema, fail_once)
+    except Exception as x:  # both attempts of the second batch
+        if job.state()["batches"] != 1:
+            raise x
+    job.run(source, chunks.schema, fail_once)
+    return index.current().select("chunk_id", "karar_id", "daire")
+
+
+@query(f"WITH c AS (SELECT id, row_number() OVER (ORDER BY id) place, count(*) OVER () n FROM {_CHUNKS}) SELECT place, id FROM c WHERE place IN (1, (n + 1) // 2, n)")
+def index_source_samples(spark, d):
+    return indexing.source_samples(_chunk_rows(spark, d), "id").select("place", "id")
+
+
 @query("SELECT id, daire, kaynak FROM (SELECT id, daire, kaynak FROM imported_decisions WHERE karar_metni IS NOT NULL AND length(karar_metni) > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY yuklenme_zamani, kaynak_kayit_id) = 1)")
 def stream_ingest(spark, d):
     """The decisions table as a stream of its files, taken in once for each id."""

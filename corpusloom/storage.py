@@ -60,3 +60,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def publish_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file so that readers see the old one or the new one, never none or a part."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    temp = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(temp, True)
+    out.write(bytearray(data))
+    out.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(temp, target, how)
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file, or None if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
