@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import answers, chunk, evaluate, records, search
-from corpusloom.operators.index import IndexMismatch, VectorIndex
+from corpusloom.operators.index import BadPoints, IndexMismatch, VectorIndex
 from corpusloom.sources import jsonl, paged
 
 
@@ -65,10 +65,14 @@ def test_labels_and_violations(spark):
 def test_knn_order_and_ties(spark):
     x = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, None), (6, [0.0, 0.0, 0.0])], "id long, v array<float>")
     q = spark.createDataFrame([(9, [0.9, 0.1, 0.0])], "id long, v array<float>")
-    got = search.knn(q, x, "id", "v", 3, 3, slice_rows=2).orderBy("rank").collect()
+    got = search.knn(q, x, "id", "v", 3, 3, item_rows=2).orderBy("rank").collect()
     assert [r["item_id"] for r in got] == [1, 4, 2]
     assert search.knn(q, x, "id", "v", 3, 3, min_score=0.999).count() == 0
     assert search.knn(q.limit(0), x, "id", "v", 3, 3).count() == 0
+    every = search.knn(x, x, "id", "v", 2, 3).select("query_id", "item_id", "rank")
+    assert set(every.collect()) == set(search.knn(x, x, "id", "v", 2, 3, most_sent=2).select("query_id", "item_id", "rank").collect()) and every.count() == 8
+    named = x.withColumn("id", F.concat(F.lit("n"), "id"))
+    assert [r["item_id"] for r in search.knn(named.where("id = 'n1'"), named, "id", "v", 2, 3).orderBy("rank").collect()] == ["n4", "n2"]
 
 
 def test_unique_decisions(spark):
@@ -139,6 +143,22 @@ def test_index(spark, tmp_path):
     assert index.count() == 2 and index.get("b").first()["n"] == 2
     with pytest.raises(ValueError):
         index.upsert(rows(("x", 1), ("x", 2)))
+    for n in range(6):  # more runs than are kept apart
+        index.upsert(rows(("b", 10 + n), (f"d{n}", n)))
+    index.delete(rows(("d0", 0)))
+    assert {(r[0], r[1]) for r in index.current().collect()} == {("b", 15), ("c", 2), *((f"d{n}", n) for n in range(1, 6))}
+    assert len(index._pointer()["runs"]) <= 5 and len(list((tmp_path / "i").glob("r-*"))) <= 2 * 6
+
+
+def test_index_checks_vectors(spark, tmp_path):
+    index = VectorIndex(spark, str(tmp_path / "v"), vector_col="v", dim=2)
+    index.ensure()
+    good = spark.createDataFrame([("a", [1.0, 0.0])], "point_id string, v array<float>")
+    index.upsert(good)
+    for bad in ([("b", [1.0])], [("b", None)], [("b", [0.0, 0.0])], [("b", [float("nan"), 1.0])], [(None, [1.0, 0.0])]):
+        with pytest.raises(BadPoints):
+            index.upsert(spark.createDataFrame(bad, "point_id string, v array<float>"))
+    assert index.count() == 1
 
 
 def test_jsonl(spark, tmp_path):
@@ -146,12 +166,35 @@ def test_jsonl(spark, tmp_path):
     p.write_text('{"id": "a", "n": 1}\n\nkein json\n[1]\n{"id": "b"}\n', encoding="utf-8")
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
     good, bad = jsonl.split_quarantine(jsonl.read_lines(spark, str(p), schema))
-    assert {r["id"] for r in good.collect()} == {"a", "b"} and bad.count() == 3
-    with pytest.raises(jsonl.BadLines):
+    assert {r["id"] for r in good.collect()} == {"a", "b"} and sorted((r["number"], r["line"]) for r in bad.collect()) == [(2, ""), (3, "kein json"), (4, "[1]")]
+    with pytest.raises(jsonl.BadLines, match="line 2"):
         jsonl.read_strict(spark, str(p), schema)
     jsonl.write_atomic(good, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2 and not (tmp_path / "out.tmp").exists()
-    assert len(jsonl.file_digests(spark, str(p)).first()["sha256"]) == 64
+    assert jsonl.read_published(spark, str(tmp_path / "out"), schema).count() == 2
+    for n in range(3):
+        jsonl.write_atomic(good.where("id = 'a'").withColumn("n", F.lit(n)), str(tmp_path / "out"))
+    assert [r["n"] for r in jsonl.read_published(spark, str(tmp_path / "out"), schema).collect()] == [2] and len(list((tmp_path / "out").glob("v-*"))) == 2
+    with pytest.raises(Exception):
+        jsonl.write_atomic(good.withColumn("n", F.raise_error(F.lit("broken"))), str(tmp_path / "out"))
+    assert jsonl.read_published(spark, str(tmp_path / "out"), schema).count() == 1
+    import hashlib
+
+    assert jsonl.file_digests(spark, str(p)).first()["sha256"] == hashlib.sha256(p.read_bytes()).hexdigest()
+
+
+def test_jsonl_bytes_and_ids(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    p = tmp_path / "x.jsonl"
+    p.write_bytes("\ufeff".encode() + b'{"id": "a"}\n{"id": "\xff"}\n{"id": "a"}\n')
+    assert [(r["number"]) for r in jsonl.bad_lines(jsonl.read_lines(spark, str(p), schema)).collect()] == [2]
+    p.write_text('{"id": "a"}\n{"id": "b"}\n{"id": "a"}\n', encoding="utf-8")
+    assert jsonl.read_strict(spark, str(p), schema, expected_rows=3).count() == 3
+    with pytest.raises(jsonl.BadLines, match="twice"):
+        jsonl.read_strict(spark, str(p), schema, unique="id")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, n int")
+    assert [r["n"] for r in jsonl.select_in_order(rows, "id", ["c", "a"]).orderBy("place").collect()] == [3, 1]
+    with pytest.raises(KeyError):
+        jsonl.select_in_order(rows, "id", ["a", "x"])
 
 
 def test_paged_source(spark, tmp_path):
