@@ -285,6 +285,34 @@ def packed(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int]
     return dealt(bags, idf, n, mean, shard_docs).groupBy("shard", "part", "rest").applyInPandas(per_shard, "pack_name string, container string, id string, first_token int, n_tokens int")
 
 
+def similarity_report(placed: DataFrame, df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(pack_name, containers, similarity, random_similarity): how alike the documents of a container are, against random containers.
+
+    Similarity is the mean cosine of the BM25 impacts of two documents of a
+    container, over all containers that hold two or more; random ones are as many
+    and get their documents by a hash.
+    """
+    bags = materialize(token_bags(df, id_col, text_col, vocabulary), "bags")
+    frequency, n, mean = _frequencies(bags)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+
+    def alike(group: pd.DataFrame) -> pd.DataFrame:
+        total, m = np.zeros(IDS, dtype=np.float32), len(group)
+        for size, data in zip(group["n_tokens"], group["bag"]):
+            ids, w = _terms(_postings(size, data, idf, mean))
+            total[ids] += w / max(float(np.linalg.norm(w)), 1e-9)
+        mates = (float(total @ total) - m) / (m * (m - 1)) if m > 1 else None
+        return pd.DataFrame({"pack_name": [group["pack_name"].iat[0]], "kind": [group["kind"].iat[0]], "mates": [mates]})
+
+    counts = placed.groupBy("pack_name").agg(F.count_distinct("container").alias("containers"))
+    homes = placed.select("pack_name", "container", "id").distinct().join(F.broadcast(counts), "pack_name")
+    drawn = homes.withColumn("container", F.pmod(F.xxhash64("id", "pack_name"), F.col("containers")).cast("string"))
+    both = homes.withColumn("kind", F.lit("packed")).unionByName(drawn.withColumn("kind", F.lit("random"))).join(bags, "id")
+    rows = both.groupBy("pack_name", "kind", "container").applyInPandas(alike, "pack_name string, kind string, mates double")
+    means = rows.groupBy("pack_name").pivot("kind", ["packed", "random"]).agg(F.avg("mates"))
+    return means.join(counts, "pack_name").select("pack_name", "containers", F.col("packed").alias("similarity"), F.col("random").alias("random_similarity"))
+
+
 def fill_report(placed: DataFrame, capacities: dict[str, int]) -> DataFrame:
     """(pack_name, capacity, containers, tokens, filled): the share of the space that is used."""
     spark = placed.sparkSession

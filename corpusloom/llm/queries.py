@@ -136,6 +136,11 @@ def p8_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08.fill_report(p08.packed(table(spark, sf_dir, "documents"), "doc_id", "text", sizes), sizes)
 
 
+def p8_similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return p08.similarity_report(p08.packed(documents, "doc_id", "text", _capacities(spark, sf_dir)), documents, "doc_id", "text")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     weights = table(spark, sf_dir, "source_weights")
     sizes = materialize(p09.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
@@ -212,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_shared_amounts": p5_shared_amounts,
     "p8_packing": p8_packing,
     "p8_fill_report": p8_fill_report,
+    "p8_similarity_report": p8_similarity_report,
     "p9_mix": p9_mix,
     "p9_share_report": p9_share_report,
     "p9_budget_mix": p9_budget_mix,

@@ -42,6 +42,14 @@ def test_neighbours_share_a_shard(spark):
     assert np.mean(same) > 0.6
 
 
+def test_containers_hold_what_is_alike(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{'abcdefgh'[i % 8] * 3}{rng.randint(0, 60)}" for _ in range(40))) for i in range(160)]
+    x = spark.createDataFrame(rows, "id long, t string")
+    r = p08.similarity_report(p08.packed(x, "id", "t", {"k": 600}), x, "id", "t").first()
+    assert r["containers"] > 10 and r["similarity"] > 1.5 * r["random_similarity"]
+
+
 def test_crowded_cells_are_met_in_blocks(spark):
     """A cluster of near-equal vectors that all lie in a few cells, against brute force."""
     from corpusloom.llm import p06_similar_vectors as p06
