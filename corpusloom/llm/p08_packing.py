@@ -306,8 +306,8 @@ def similarity_report(placed: DataFrame, df: DataFrame, id_col: str, text_col: s
 
     counts = placed.groupBy("pack_name").agg(F.count_distinct("container").alias("containers"))
     homes = placed.select("pack_name", "container", "id").distinct().join(F.broadcast(counts), "pack_name")
-    drawn = homes.withColumn("container", F.pmod(F.xxhash64("id", "pack_name"), F.col("containers")).cast("string"))
-    both = homes.withColumn("kind", F.lit("packed")).unionByName(drawn.withColumn("kind", F.lit("random"))).join(bags, "id")
+    drawn = homes.select("pack_name", "id", "containers").distinct().withColumn("container", F.pmod(F.xxhash64("id", "pack_name"), F.col("containers")).cast("string"))
+    both = homes.select("pack_name", "id", "containers", "container").withColumn("kind", F.lit("packed")).unionByName(drawn.withColumn("kind", F.lit("random"))).join(bags, "id")
     rows = both.groupBy("pack_name", "kind", "container").applyInPandas(alike, "pack_name string, kind string, mates double")
     means = rows.groupBy("pack_name").pivot("kind", ["packed", "random"]).agg(F.avg("mates"))
     return means.join(counts, "pack_name").select("pack_name", "containers", F.col("packed").alias("similarity"), F.col("random").alias("random_similarity"))
