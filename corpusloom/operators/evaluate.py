@@ -90,6 +90,27 @@ def numeric_summary(df: DataFrame, value_col: str, fractions: dict[str, float])
     return ends.crossJoin(picked)  # one row each
 
 
+def values_at(df: DataFrame, group_col: str, value_col: str, places: dict) -> DataFrame:
+    """(group, n, sum, one column for each place): the values at given places, from 1, in the order of each group.
+
+    ``places`` maps names to functions of the group's size ``n``.  A crowded
+    group is spread over ranges of its values; a task orders one range only.
+    """
+    from pyspark.sql import Window as W
+
+    rows = df.where(F.col(value_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(value_col).alias("v"))
+    counts = rows.groupBy("grp", "v").agg(F.count("*").alias("n"))
+    counts = materialize(counts.repartitionByRange("grp", "v").withColumn("part", F.spark_partition_id()), "counts")
+    group = W.partitionBy(F.struct("grp"))
+    parts = counts.groupBy("grp", "part").agg(F.sum("n").alias("m"))
+    parts = parts.withColumn("before", F.sum("m").over(group.orderBy("part")) - F.col("m")).withColumn("total", F.sum("m").over(group))
+    upto = F.sum("n").over(W.partitionBy("grp", "part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    parts = parts.select(F.col("grp").alias("_g"), F.col("part").alias("_p"), "before", "total")
+    run = counts.join(parts, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_p"))).withColumn("upto", upto)
+    picks = [F.min(F.when(F.col("upto") >= at(F.col("total")), F.col("v"))).alias(name) for name, at in places.items()]
+    return run.groupBy("grp").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("sum"), *picks).withColumnRenamed("grp", group_col)
+
+
 def stratified_sample(df: DataFrame, id_col: str, band_col: str, kind_col: str, key, per_band: int) -> DataFrame:
     """Round robin over the kinds (by name) of each band, each kind in the order of a stable key, until the band has its rows."""
     from pyspark.sql import Window as W

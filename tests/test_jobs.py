@@ -124,6 +124,16 @@ def test_numeric_summary_against_plain(spark):
         assert abs(got["mean"] - (sum(v) / n if n else 0)) < 1e-9
 
 
+def test_values_at_places(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.random() // 0.01) for g in ("a", "a", "a", "b", None) for _ in range(rng.randint(30, 90))] + [("c", 1.0), ("d", None)]
+    got = {r["g"]: r for r in evaluate.values_at(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p95": lambda n: F.expr("(total * 95 + 99) div 100"), "least": lambda n: F.lit(1)}).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g)
+        assert r["n"] == len(v) and r["least"] == v[0] and r["p95"] == v[(len(v) * 95 + 99) // 100 - 1] and abs(r["sum"] - sum(v)) < 1e-9
+
+
 def test_chunk_configurations(spark):
     x = spark.createDataFrame([("a", "Bir cümle burada biter. " * 60), ("b", "kısa"), ("c", None), ("d", " ")], "id string, t string")
     got = {r["configuration"]: r for r in chunk.compare_configurations(x, "t", [(800, 100, 250), (400, 100, 100)]).collect()}
