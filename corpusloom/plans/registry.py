@@ -96,8 +96,11 @@ def chunk_length_summary(spark, d):
 
 @query("SELECT daire, count(*) AS hits, round(quantile_disc(score, 0.95), 6) AS p95, round(median(score), 6) AS median, round(avg(score), 6) AS mean FROM search_hits WHERE score IS NOT NULL GROUP BY 1")
 def score_percentiles(spark, d):
-    x = evaluate.values_at(table(spark, d, "search_hits"), "daire", "score", {"p95": lambda n: F.expr("(total * 95 + 99) div 100"), "a": lambda n: F.expr("(total + 1) div 2"), "b": lambda n: F.expr("total div 2 + 1")})
-    return x.select("daire", _C("n").alias("hits"), F.round("p95", 6).alias("p95"), F.round((_C("a") + _C("b")) / 2, 6).alias("median"), F.round(_C("sum") / _C("n"), 6).alias("mean"))
+    h = table(spark, d, "search_hits").where("score is not null")
+    means = h.groupBy(_C("daire").alias("_d")).agg(F.avg("score").alias("mean"))
+    x = evaluate.values_at(h, "daire", "score", {"p95": lambda n: F.expr("(total * 95 + 99) div 100"), "a": lambda n: F.expr("(total + 1) div 2"), "b": lambda n: F.expr("total div 2 + 1")})
+    x = x.join(means, _C("daire").eqNullSafe(_C("_d")))  # a row for each chamber
+    return x.select("daire", _C("n").alias("hits"), F.round("p95", 6).alias("p95"), F.round((_C("a") + _C("b")) / 2, 6).alias("median"), F.round("mean", 6).alias("mean"))
 
 
 @query("""SELECT CASE WHEN n <= 800 THEN 'kisa' WHEN n <= 1200 THEN 'orta' WHEN n <= 1800 THEN 'uzun' ELSE 'cok_uzun' END AS band, karar_turu AS kind, count(*) AS records
