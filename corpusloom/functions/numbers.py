@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 _SCALES = ((2.0**-7, 60), (2.0**-17, 69), (0.0, 78))
 
 
-def _rounded(size: Column, bits: int, places: int) -> Column:
-    one, ten = F.lit(str(1 << bits)).cast("decimal(38,0)"), 10**places
-    product = (size * float(1 << bits)).cast("bigint").cast("decimal(20,0)") * F.lit(ten).cast("decimal(10,0)")
-    low = F.floor(product / one).cast("bigint")
-    low = F.when(low.cast("decimal(18,0)") * one > product, low - 1).otherwise(low)
-    rest = (product - low.cast("decimal(15,0)") * one) * 2
-    return (low + ((rest > one) | ((rest == one) & (low % 2 == 1))).cast("bigint")).cast("double") / float(ten)
+def _by_size(size: Column, of) -> Column:
+    least, bits = _SCALES[0]
+    out = F.when(size >= least, of(bits))
+    for least, bits in _SCALES[1:]:
+        out = out.when(size >= least, of(bits))
+    return out
 
 
 def round_exact(c: Column, places: int = 6) -> Column:
@@ -27,6 +26,11 @@ def round_exact(c: Column, places: int = 6) -> Column:
     """
     if not 0 <= places <= 6:
         raise ValueError("places are 0 to 6")
-    size = F.abs(c)
-    out = F.coalesce(*(F.when(size >= least, _rounded(size, bits, places)) for least, bits in _SCALES))
+    size, ten = F.abs(c), 10**places
+    one = _by_size(size, lambda bits: F.lit(str(1 << bits)).cast("decimal(30,0)"))
+    whole = (size * _by_size(size, lambda bits: F.lit(float(1 << bits)))).cast("bigint").cast("decimal(20,0)")
+    near = F.rint(size * ten).cast("bigint")
+    off = (whole * F.lit(ten).cast("decimal(8,0)") - near.cast("decimal(8,0)") * one) * 2  # from the near one, in halves
+    step = F.when(off > one, 1).when(off < -one, -1).when(off == one, near % 2).when(off == -one, -(near % 2)).otherwise(0)
+    out = (near + step).cast("double") / float(ten)
     return F.when(size < 8, F.when(c < 0, -out).otherwise(out)).otherwise(F.bround(c, places))

@@ -21,8 +21,9 @@ def outcomes(cases: DataFrame, hits: DataFrame, settings: DataFrame) -> DataFram
     ``hits`` has (case_id, rank, target, score).  A hit counts if its rank is
     within top_k and its score, rounded to six places, reaches the threshold.
     """
-    joined = cases.join(hits, "case_id", "left").crossJoin(F.broadcast(settings))  # a handful of settings
-    kept = (F.col("rank") <= F.col("top_k")) & (round_exact(F.col("score")) >= F.col("threshold"))
+    rounded = hits.withColumn("_score", round_exact(F.col("score")))  # once for each hit
+    joined = cases.join(rounded, "case_id", "left").crossJoin(F.broadcast(settings))  # a handful of settings
+    kept = (F.col("rank") <= F.col("top_k")) & (F.col("_score") >= F.col("threshold"))
     return joined.groupBy("case_id", "expected", "top_k", "threshold").agg(F.count(F.when(kept, 1)).alias("retained"), F.min(F.when(kept & (F.col("target") == F.col("expected")), F.col("rank"))).alias("first_match"))
 
 
