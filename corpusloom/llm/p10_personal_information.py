@@ -47,8 +47,11 @@ from corpusloom.storage import materialize
 
 #: Given names that are among the most common ones of their country; all others are learnt.
 COMMON_NAMES = """
-Mehmet Mustafa Ahmet Ali Hüseyin Hasan İbrahim İsmail Osman Yusuf Murat Ömer Ramazan Halil Süleyman Abdullah Mahmut Recep Salih Fatih Kadir Emre Hakan Adem
-Kemal Yaşar Bekir Musa Metin Orhan Fatma Ayşe Emine Hatice Zeynep Elif Meryem Şerife Zehra Sultan Hanife Merve Havva Zeliha Esra Özlem Hacer Yasemin Hülya Cemile
+Mehmet Mustafa Ahmet Ali Hüseyin Hasan İbrahim İsmail Osman Yusuf Murat Ömer Ramazan Halil Süleyman Abdullah Mahmut Recep Salih Fatih Kadir Emre Adem
+Kemal Yaşar Bekir Musa Metin Orhan Hakan Serkan Volkan Burak Cem Tolga Sinan Engin Ercan Erdal Erol Erhan Cengiz Yavuz Selim Selçuk Şükrü Veli Hamza Harun Davut Yakup Yunus Eyüp İsmet Rıza Remzi Turgut
+Vedat Zeki Bülent Cihan Ferhat Furkan Gökhan Kaan Kerem Koray Levent Oğuz Uğur Nuri Necati Cahit Cemal Tamer Salim Faruk Sedat Nihat Hikmet Serdar Okan
+Aynur Aysel Ayten Songül Sevim Gülsüm Leyla Dilek Büşra Kübra Esma Meral Nurten Filiz Serpil Sibel Nermin Pınar Ebru Tuğba Burcu Gamze Seda Nuray Rabia Zübeyde Nalan
+Fatma Ayşe Emine Hatice Zeynep Elif Meryem Şerife Zehra Sultan Hanife Merve Havva Zeliha Esra Özlem Hacer Yasemin Hülya Cemile
 James John Robert Michael William David Richard Thomas Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah
 Hans Peter Klaus Wolfgang Jürgen Michael Stefan Thomas Maria Ursula Monika Petra Sabine Renate Anna Julia
 """.split()
