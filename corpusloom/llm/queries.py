@@ -107,7 +107,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", fineness=1.9, growth=0.15)
+    hits = p06.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "vector", fineness=2.4, growth=0.1)
     return hits.select(F.col("id").alias("query_id"), F.col("neighbour").alias("chunk_id"), "score", "rank")
 
 
