@@ -6,7 +6,12 @@ run of ``min_chars - min_chars // 2 + 1`` windows is kept, so that any common
 span of ``min_chars`` characters leaves a common fingerprint in both texts.  The
 fingerprints of a batch become a sorted immutable run; a new batch is merged
 with the runs before it, candidates are verified on the texts, and runs are
-compacted into one when there are more than ``max_runs``.
+compacted into one when a batch is to come and there are more than ``max_runs``.
+
+Of fingerprints and texts only those move that a bit set of the shared ones may
+hold.  The bit sets have 2**BITS bits at most, built in the executors; what
+passes by chance is dropped by the join that follows, so they decide about work
+and never about results.
 
 Defined cases: null texts or ids take no part; texts shorter than ``min_chars``
 share nothing; rows with one id are one record with several texts; exact copies
@@ -26,6 +31,7 @@ from pyspark.sql import Window as W
 from corpusloom.llm.common import arrow_map, code_points, slices
 from corpusloom.storage import fresh_path, materialize, remove
 
+BITS = 26  # at most a million words of 64 bits are broadcast
 _BASE = 1099511628211  # odd, so that it has an inverse modulo 2**64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -134,6 +140,14 @@ def fingerprints(classes: DataFrame, min_chars: int) -> DataFrame:
     return arrow_map(classes.select("tid", "text"), per_batch, "fp long, tid binary, before long")
 
 
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of ``keys``, by a broadcast bit set; an exact join has to follow."""
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - BITS)
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.join(F.broadcast(words), (word == F.col("word")) & (F.getbit("bits", bit) == 1), "left_semi")
+
+
 class FingerprintLog:
     """Sorted immutable runs of fingerprints in the shared folder."""
 
@@ -161,8 +175,8 @@ class FingerprintLog:
         every = self._read([new]).withColumn("fresh", F.lit(True))
         if self.runs:
             every = every.unionByName(self._read(self.runs).withColumn("fresh", F.lit(False)))
-        shared = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-        known = every.join(shared.select("fp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "fp").withColumn("at", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+        shared = materialize(every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        known = perhaps_in(every, shared, "fp").join(shared.select("fp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "fp").withColumn("at", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
         a = known.where("fresh").select("fp", F.col("tid").alias("tid_a"), F.col("before").alias("before_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
         b = known.select("fp", "at", F.col("tid").alias("tid_b"), F.col("before").alias("before_b"), "fresh")
         # if the fingerprints before them are equal too, the pair came out there
@@ -179,6 +193,12 @@ class FingerprintLog:
             for path in old:
                 remove(self.spark, path)
 
+    def close(self) -> None:
+        """Remove the runs, when all candidates are written."""
+        for path in self.runs:
+            remove(self.spark, path)
+        self.runs = []
+
 
 def _common(a: np.ndarray, b: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts, in each text, of the windows of min_chars that both hold, every one confirmed on the characters.
@@ -211,8 +231,8 @@ def _intervals(starts: np.ndarray, width: int) -> list[dict]:
 
 def verify(candidates: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
     """(tid_a, tid_b, spans_a, spans_b) of the candidates that do share a span."""
-    ends = candidates.select(F.explode(F.array("tid_a", "tid_b")).alias("tid")).distinct()
-    texts = classes.select("tid", "text").join(ends, "tid", "left_semi").dropDuplicates(["tid"])
+    ends = candidates.select(F.explode(F.array("tid_a", "tid_b")).alias("tid"))
+    texts = perhaps_in(classes.select("tid", "text"), ends, "tid").join(ends.distinct(), "tid", "left_semi").dropDuplicates(["tid"])
     pairs = candidates.join(texts.select(F.col("tid").alias("tid_a"), F.col("text").alias("text_a")), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), F.col("text").alias("text_b")), "tid_b")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -234,12 +254,13 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
     classes = text_classes(df, id_col, text_col, min_chars)
-    prints = materialize(fingerprints(classes, min_chars).withColumn("batch", F.pmod(F.xxhash64("tid"), F.lit(batches)).cast("int")), "prints")
     log = FingerprintLog(df.sparkSession, max_runs)
     found = []
     for i in range(batches):
-        found.append(materialize(log.append(prints.where(F.col("batch") == i).drop("batch")), "candidates"))
         log.compact()
+        batch = classes.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == i)  # copies are in one batch
+        found.append(materialize(log.append(fingerprints(batch, min_chars)), "candidates"))
+    log.close()
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)

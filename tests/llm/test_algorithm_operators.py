@@ -1,15 +1,19 @@
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import p04_splitting as p04
 from corpusloom.llm import p05_shared_spans as p05
 from corpusloom.llm import p06_similar_vectors as p06
 from corpusloom.llm import p07_format_duplicates as p07
+from corpusloom.storage import shared_dir
 
 
 @settings(max_examples=200, deadline=None)
@@ -86,6 +90,58 @@ def test_crowded_fingerprint(spark):
     assert log.append(p05.fingerprints(classes, 60), block=7).count() == 40 * 39 // 2
 
 
+def shuffled(spark, run):
+    """Bytes that a run shuffles without joins that Spark broadcasts by itself."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        time.sleep(0.3)
+        spark.range(1).collect()  # brings the figures up to date
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = total()
+        run()
+        return total() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_only_texts_of_candidates_move(spark):
+    rng = random.Random(5)
+    rows = [(f"d{i:04d}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))) for i in range(1000)]
+    rows[1] = ("d0001", rows[0][1][:500] + rows[1][1])
+    classes = p05.text_classes(spark.createDataFrame(rows, "id string, t string"), "id", "t", 300)
+    tids = {r["record"]: r["tid"] for r in classes.where("record < 'd0002'").collect()}
+    candidates = spark.createDataFrame([(tids["d0000"], tids["d0001"])], "tid_a binary, tid_b binary")
+    found = []
+    assert shuffled(spark, lambda: found.extend(p05.verify(candidates, classes, 300).collect())) < 100_000
+    assert len(found) == 1 and [tuple(x) for x in found[0]["spans_a"]] == [(0, 500)]
+
+
+def test_only_shared_fingerprints_move(spark):
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("fp"), F.unhex(F.md5(F.col("id").cast("string"))).alias("tid"), F.lit(None).cast("long").alias("before"))
+    again = rows.limit(3).withColumn("tid", F.unhex(F.md5("tid")))
+    found = p05.FingerprintLog(spark).append(rows.unionByName(again))
+    assert shuffled(spark, lambda: found.collect()) < 100_000
+    assert found.count() == 3
+
+
+def test_log_leaves_no_runs(spark, monkeypatch):
+    written, write = [], p05.FingerprintLog._write
+    monkeypatch.setattr(p05.FingerprintLog, "_write", lambda log, rows: written.append(write(log, rows)) or written[-1])
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    x = spark.createDataFrame([(f"d{i}", f"{i * 7919} " * 20 + "Bu paragraf üç kayıtta aynen durur." * (i < 3)) for i in range(9)], "id string, t string")
+    pairs, members = p05.shared_spans(x, "id", "t", min_chars=30, batches=3, max_runs=1)
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before}
+    assert len(written) == 4 and left <= {"candidates", "shared"}  # three batches, compacted before the third
+    assert {("d0", "d1"), ("d0", "d2"), ("d1", "d2")} <= {tuple(r) for r in p05.record_pairs(pairs, members).collect()}
+
+
 def brute_hits(v, k):
     m = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = m @ m.T
